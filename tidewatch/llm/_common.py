@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_columns(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    """The batch with some of its columns replaced; the others are passed on as they are."""
+    names = batch.schema.names
+    arrays = [
+        pa.array(columns[name], type=batch.schema.field(name).type) if name in columns else batch.column(i) for i, name in enumerate(names)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=names)

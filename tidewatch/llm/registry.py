@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .licenses import op5_license_scan
+from .mixing import op2_mix_sources
 from .secrets import op6_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_mix_sources": op2_mix_sources,
+        "op4_decontaminate": op4_decontaminate,
         "op3_url_filter": op3_url_filter,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
