@@ -7,6 +7,7 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .licenses import op5_license_scan
 from .mixing import op2_mix_sources
 from .secrets import op6_secret_scan
+from .token_files import op10_token_files
 from .url_filter import OP3_SQL, op3_url_filter
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_token_files": op10_token_files,
     }
 
 
