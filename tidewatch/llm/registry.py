@@ -8,6 +8,7 @@ from .licenses import op5_license_scan
 from .mixing import op2_mix_sources
 from .secrets import op6_secret_scan
 from .token_files import op10_token_files
+from .toxicity import op7_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
+        "op7_toxicity": op7_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_files": op10_token_files,
     }
