@@ -14,6 +14,7 @@ written under a name of its own attempt and moved into place, so a repeated task
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -34,9 +35,9 @@ MAGIC = b"TIDETOK1"
 TRAILER = struct.Struct("<32sQQQQ8s")
 #: Bounds of what the dictionary is trained on, and its size: documents, characters of each, bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8_000, 1 << 16
-LEVEL = 3
-#: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
+LEVEL = 1
+#: Words whose ids a worker keeps, but for those of the 256 texts at hand; the store is emptied when it has grown beyond.
+KEPT_WORDS = 1_000_000
 READ_BYTES = 4 << 20
 
 
@@ -45,52 +46,95 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words one
     after the other, and each word is encoded by the library once. A word of Latin letters with ASCII punctuation behind
-    it (without an apostrophe) is two of the tokenizer's pieces, encoded apart. A text with ``<|`` may hold special
-    tokens and is encoded whole.
+    it (without an apostrophe) is two of the tokenizer's pieces. Such pieces are encoded many at a time, with spaces
+    between: the last id of each, and no other, is one of a word's end. Other words are encoded one by one. A text with
+    ``<|`` may hold special tokens and is encoded whole.
     """
 
-    PIECES = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    #: UTF-8 of a run of lower-case Latin letters; ASCII punctuation without the apostrophe.
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
 
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that the tokenizer takes as one each."""
+        out = []
+        for k in range(0, len(pieces), 512):
+            some = pieces[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                out += self._one_by_one([p.decode() for p in some])
+                continue
+            raw, cuts = self.pack(ids), (ends * self.width).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.kept) + len(words) > KEPT_WORDS:
-            self.kept.clear()
-        split = {w: m.groups() for w in words if (m := self.PIECES.fullmatch(w.decode()))}
-        wanted = {p for pair in split.values() for p in pair} | {w.decode() for w in words if w not in split}
-        missing = [p for p in wanted if p.encode() not in self.kept]
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.kept[piece.encode()] = self.pack(found.ids)
-        for word, (core, tail) in split.items():
-            self.kept[word] = self.kept[core.encode()] + self.kept[tail.encode()]
+        kept, letters, tail = self.kept, self.LETTERS.fullmatch, self.TAIL
+        pairs, odd, wanted = [], [], set()
+        for word in words:
+            core = word.rstrip(tail)
+            if core.isalpha() or letters(core):
+                if len(core) < len(word):
+                    pairs.append((word, core, word[len(core) :]))
+                    wanted.add(word[len(core) :])
+                wanted.add(core)
+            elif core:
+                odd.append(word)
+            else:
+                wanted.add(word)
+        pieces = [p for p in wanted if p not in kept]
+        kept.update(zip(pieces, self._pieces(pieces), strict=True))
+        for word, core, rest in pairs:
+            kept[word] = kept[core] + kept[rest]
+        kept.update(zip(odd, self._one_by_one([w.decode() for w in odd]), strict=True))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Packed ids of each text, with the end id."""
         out, last = [], self.pack([end])
-        for text in texts:
-            raw = (text or "").encode()
-            if b"<|" in raw:
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + last)
-                continue
-            words = raw.lower().split()
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, words)) + last)
-            except KeyError:
-                known = set(words)
-                self._learn(known - self.kept.keys() if len(self.kept) + len(known) <= KEPT_WORDS else known)
-                out.append(b"".join(map(self.kept.__getitem__, words)) + last)
+        for k in range(0, len(texts), 256):
+            raws = [(t or "").encode() for t in texts[k : k + 256]]
+            split = [None if b"<|" in raw else raw.lower().split() for raw in raws]
+            if len(self.kept) > KEPT_WORDS:
+                self.kept.clear()
+            get = self.kept.get
+            found = [list(map(get, own or ())) for own in split]
+            new = {w for own, ids in zip(split, found, strict=True) if None in ids for w, i in zip(own, ids, strict=True) if i is None}
+            if new:
+                self._learn(new)
+            for at, (own, ids) in enumerate(zip(split, found, strict=True)):
+                if own is None:
+                    out.append(self.pack(self.tokenizer.encode(texts[k + at], add_special_tokens=False).ids) + last)
+                elif None in ids:
+                    out.append(b"".join([get(w) if i is None else i for w, i in zip(own, ids, strict=True)]) + last)
+                else:
+                    out.append(b"".join(ids) + last)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(spec: str) -> WordEncoder:
+    """A worker's encoder lives as long as the worker, for all its tasks."""
+    return WordEncoder(spec)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary; of too few samples for training, the samples themselves."""
     try:
@@ -184,7 +228,7 @@ FRAMES = "doc_id bigint, shard int, n_tokens bigint, crc bigint, frame binary"
 
 def _encode(spec, dictionary: bytes, end: int):
     def run(batches):
-        encoder = WordEncoder(spec.value)
+        encoder = _encoder(spec.value)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)).compress
         for batch in batches:
             packed = encoder.encode(batch["text"].to_pylist(), end)
