@@ -6,6 +6,7 @@ from .decontaminate import op4_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .licenses import op5_license_scan
 from .mixing import op2_mix_sources
+from .pitman_yor import op8_lm_score
 from .secrets import op6_secret_scan
 from .token_files import op10_token_files
 from .toxicity import op7_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
+        "op8_lm_score": op8_lm_score,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_files": op10_token_files,
     }
