@@ -286,8 +286,8 @@ def write_token_files(
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = file.read()
     encoder = WordEncoder(spec)
-    sample = source.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    texts = [r["text"] for r in sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    drawn = source.where(F.rand(11) < 1.2 * SAMPLE_DOCS / max(source.select("doc_id").count(), 1)).limit(SAMPLE_DOCS)
+    texts = [r["text"] for r in drawn.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
     dictionary = train_dictionary(encoder.encode(texts, end))
     digest = hashlib.sha256(dictionary).digest()
     store, place = _filesystem(folder)
