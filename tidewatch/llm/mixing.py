@@ -86,45 +86,62 @@ def hash_thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def _hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - LEVEL_BITS * LEVELS)
+
+
+def _plan(rows: DataFrame, weights, most_times: int, share: float) -> DataFrame:
+    """(own, source_size, target, whole, threshold): one row per source."""
+    targets = settle(source_targets(rows, weights, most_times, share), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    budgets = targets.select("source", (F.col("target") - whole * F.col("source_size")).alias("budget"))
+    thresholds = hash_thresholds(rows, budgets).withColumnRenamed("source", "own")
+    return targets.join(thresholds, F.col("source").eqNullSafe(F.col("own")), "left").select(
+        F.col("source").alias("own"), "source_size", "target", whole.alias("whole"), F.coalesce("threshold", F.lit(0)).alias("threshold")
+    )
+
+
+def _times(most_times: int) -> Column:
+    return F.col("whole") + ((F.col("hash") < F.col("threshold")) & (F.col("whole") < most_times)).cast("int")
+
+
 def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    most_times: int = MOST_TIMES,
-    share: float = 1.0,
-    seed: int = 17,
-    settled: str = "mix-sizes",
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights=WEIGHTS, most_times: int = MOST_TIMES, share: float = 1.0, seed: int = 17,
+) -> DataFrame:
     """(id, source, size, source_size, target, times) for every row: how often the mix takes it, 0 for not at all.
 
     A target of ``k`` and a bit times its source takes every row ``k`` times and, by hash threshold, some rows once more. Null texts have
     no words; null sources are a source of their own. The hash is of seed, id and text, so reruns agree and repeated rows are taken
     alike. Rows without words cost nothing and follow their hash. Extra columns are ignored.
     """
-    text = F.col(text_col)
-    bits = LEVEL_BITS * LEVELS
     rows = settle(
         docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(text).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 64 - bits).alias("hash"),
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col, seed).alias("hash")
         ),
-        settled,
-    )
-    targets = settle(source_targets(rows, weights, most_times, share), "mix-targets")
-    whole_times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    budgets = targets.select("source", (F.col("target") - whole_times * F.col("source_size")).alias("budget"))
-    thresholds = hash_thresholds(rows, budgets)
-    plan = targets.join(thresholds.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")), "left").select(
-        F.col("source").alias("own"), "source_size", "target", whole_times.alias("whole"), F.coalesce("threshold", F.lit(0)).alias("threshold")
-    )
-    once_more = ((F.col("hash") < F.col("threshold")) & (F.col("whole") < most_times)).cast("int")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("own"))).select(
-        "id", "source", "size", "source_size", "target", (F.col("whole") + once_more).alias("times"), "hash"
+        "mix-sizes",
+    )
+    plan = _plan(rows, weights, most_times, share)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("own"))).select("id", "source", "size", "source_size", "target", _times(most_times).alias("times"))
+
+
+def mix_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights=WEIGHTS, most_times: int = MOST_TIMES, share: float = 1.0, seed: int = 17,
+) -> DataFrame:
+    """The rows of ``docs`` themselves, each as often as the mix takes it.
+
+    Only sizes and hashes are gathered for the thresholds; rows then pass a filter where they are. The thresholds, one row per
+    source, are broadcast if Spark finds them small, else joined.
+    """
+    rows = settle(
+        docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col, seed).alias("hash")), "mix-sizes"
     )
+    plan = _plan(rows, weights, most_times, share).select("own", "whole", "threshold")
+    kept = docs.columns
+    out = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), _hash(id_col, text_col, seed).alias("hash"))
+    out = out.join(plan, F.col(f"row.{source_col}").eqNullSafe(F.col("own"))).withColumn("times", _times(most_times)).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
