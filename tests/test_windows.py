@@ -81,7 +81,7 @@ def test_several_sizes_in_one_plan(spark):
     df = add_window_features(frame(spark, rows), [5, 5.5, 60])
     for size, suffix in ((5, "_5"), (5.5, "_5_5"), (60, "_60")):
         same(got(df, suffix), plain(rows, size))
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = add_window_features(frame(spark, rows), [5, 5.5, 60])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 

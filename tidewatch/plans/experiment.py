@@ -66,11 +66,16 @@ def rules_of(config: Mapping) -> SuffixRules:
     return SuffixRules.default(d["include_private_suffixes"], d["local_suffixes"])
 
 
-def _timed(df: DataFrame) -> tuple[DataFrame, float]:
-    """The table, persisted and filled, and how long that took."""
+def _landed(df: DataFrame, place: str) -> DataFrame:
+    """The table as Parquet, read again: later plans start there, and a lost executor costs nothing that was written."""
+    df.write.mode("overwrite").parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def _timed(df: DataFrame, place: str) -> tuple[DataFrame, float]:
+    """The table, written as Parquet and read again, and how long that took."""
     start = time.perf_counter()
-    df = df.persist()
-    df.count()
+    df = _landed(df, place)
     return df, time.perf_counter() - start
 
 
@@ -161,9 +166,11 @@ def run(spark: SparkSession, config: dict, overwrite: bool = False) -> list[dict
         spark, given["benign_path"], given["tunnel_path"], float(checks["max_invalid_fraction"]), mapping=config["field_mapping"], fmt=given["format"], encoding=given["encoding"],
         required=checks["required_fields"],
     )
+    work = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or f'file://{out.resolve()}'}/work-{out.name}"
+    events = _landed(events, f"{work}/events")
     kept, dedupe = events, None
     if config["dedupe"]["enabled"]:
-        kept = splits.deduplicate(events)
+        kept = _landed(splits.deduplicate(events), f"{work}/kept")
         dedupe = splits.dedupe_report(events, kept)
         kept = kept.drop("label_conflict")
     rules, how = rules_of(config), config["split"]
@@ -171,15 +178,15 @@ def run(spark: SparkSession, config: dict, overwrite: bool = False) -> list[dict
         split = splits.apply_manifest(kept, splits.read_manifest(spark, how["manifest_path"]))
     else:
         split = splits.assign_subset(kept, how["strategy"], how["test_size"], config["random_seed"], how["chronological_mode"], rules=rules)
-    split = split.persist()
+    split = _landed(split, f"{work}/split")
     if not how["manifest_path"]:
         splits.write_manifest(split, f"file://{out.resolve()}/split_manifest.csv")
     train_raw, test_raw = (split.where(F.col("subset") == s).drop("subset") for s in ("train", "test"))
     audit = [r.asDict() for r in policy.schema_audit(train_raw, config["features"]["schema_artifact_threshold"]).collect()]
     artefacts = [r["field"] for r in audit if r["flagged"]]
     excluded = artefacts if config["features"]["schema_artifact_policy"] == "exclude" else []
-    train, train_seconds = _timed(add_event_features(train_raw, available, rules))
-    test, test_seconds = _timed(add_event_features(test_raw, available, rules))
+    train, train_seconds = _timed(add_event_features(train_raw, available, rules), f"{work}/train")
+    test, test_seconds = _timed(add_event_features(test_raw, available, rules), f"{work}/test")
     choose = lambda windows: policy.select_features(windows, config["features"]["include_categorical"], config["features"]["feature_set"], config["features"]["exclude"], excluded)
     base = choose(False)
     leaks = policy.leakage_audit(train, test, base.continuous, base.binary, base.categorical)
@@ -201,18 +208,14 @@ def run(spark: SparkSession, config: dict, overwrite: bool = False) -> list[dict
     extra = [c for c in train.columns if c not in WINDOW_INPUT]
     for size in config["windows"]["sizes"]:
         chosen = choose(True)
-        wide, a = _timed(add_window_features(train, size))
+        wide, a = _timed(add_window_features(train, size), f"{work}/train-{window_label(size)}")
         if config["windows"]["history_policy"] == "train_carryover":
             windowed = window_features_with_history(test, train, size).join(test.select("event_id", *[c for c in extra if c != "event_id"]), "event_id")
         else:
             windowed = add_window_features(test, size)
-        wide_test, b = _timed(windowed)
+        wide_test, b = _timed(windowed, f"{work}/test-{window_label(size)}")
         for name in config["models"]["enabled"]:
             rows.append(_run_one(config, name, "sliding_window", size, wide, wide_test, chosen, (train_seconds + a, test_seconds + b), out / experiment_id("sliding_window", size, name)))
-        wide.unpersist()
-        wide_test.unpersist()
-    for cached in (train, test, split):
-        cached.unpersist()
     with open(out / "results.csv", "w", encoding="utf-8", newline="") as file:
         import csv
 

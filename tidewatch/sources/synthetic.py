@@ -59,7 +59,7 @@ def write_logs(spark: SparkSession, folder: str, n_benign: int = 7000, n_tunnel:
     paths = []
     for name, rows in (("benign", benign_records(spark, n_benign, seed)), ("tunnel", tunnel_records(spark, n_tunnel, seed))):
         if noise and name == "benign":
-            rows = rows.unionByName(rows.orderBy("id").limit(1)).unionByName(spark.createDataFrame([(-1 - k, x) for k, x in enumerate(NOISE)], "id long, value string"))
+            rows = rows.unionByName(rows.orderBy("id").limit(1)).unionByName(spark.createDataFrame([((1 << 40) + k, x) for k, x in enumerate(NOISE)], "id long, value string"))
         path = f"{folder}/{name}"
         rows.coalesce(1).sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
         paths.append(path)
