@@ -12,13 +12,14 @@ values that many documents share; a document with more of either than the slack
 Candidates go through exact bounds (sizes, and a parity sketch that a shingle can change in one bit only), then
 both texts are compared. Nothing is decided by a hash of a set alone.
 
-The steps: 1. sizes, digests, sketches; equal sets become one class. 2. A few single shingles of each class, those
-with the smallest hashes, find most links early: every document is compared with the smallest one that shares such a
-shingle, which is linear in the documents. 3. All segments; within a segment's value only documents of different components are compared. 4. Components.
+The steps: 1. sizes, digests, sketches; equal sets become one class. 2. A few segments of each class find most
+links early: every document is compared with the smallest one that shares such a segment, which is linear in the
+documents. 3. All segments; within a segment's value only documents of different components are compared. 4. Components.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 from dataclasses import dataclass
@@ -36,17 +37,21 @@ from .components import connected_components
 
 #: Words of a shingle; the similarity asked for, as a fraction.
 SHINGLE, NEED = 5, (4, 5)
-#: Shingles of each document in the second step; components that share a segment's value from which on it counts as common.
-FIRST_SHINGLES, COMMON = 8, 64
+#: Segments of each document under each of two partitions in the second step; components that share a segment's value from which on it counts as common.
+FIRST_SEGMENTS, COMMON = 6, 12
 #: Chance, for the cost model, that a shingle of one document is in an unrelated one.
-SHARED = 0.02
+SHARED = 0.001
+#: Rows that cost as much as one comparison of two texts.
+PAIR_COST = 50
+#: Width of a segment that allows a deletion, in exact ones.
+WIDE = 3
 #: Sets of fewer shingles are linked with equal ones only.
 LEAST = 4
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 #: Bits of the filter of ids that keeps most texts out of a shuffle; fixed, so it may be sent along with the plan.
 FILTER_BITS = 1 << 20
 #: Documents of one packed block; buckets per shuffle partition.
-BLOCK_DOCS, BUCKETS_EACH = 6000, 4
+BLOCK_DOCS, BUCKETS_EACH = 4000, 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -108,8 +113,8 @@ def bands(largest: int) -> list[tuple[int, int]]:
 class Allocation:
     """Segments of a band, of which the first ``loose`` ones allow a deletion.
 
-    Of its exact segments a document may leave out ``slack`` empty ones, and of all it may not ask by
-    common values of ``common`` credits.
+    Of its exact segments a document may leave out ``slack`` empty ones. ``common`` credits more may be lost to values
+    that many documents share; as a linked pair without such values meets that often more, rarer meetings are chance.
     """
 
     segments: int
@@ -121,29 +126,39 @@ class Allocation:
 def allocate(high: int, n_docs: int) -> Allocation:
     """The cheapest allocation for sets of up to ``high`` shingles and partners a band above."""
     differ = (high + high * NEED[1] // NEED[0]) // 9
-    common = min(2, differ // 8)
+    common = min(3, differ // 6)
     best = None
-    for slack in range(0, min(6, differ) + 1):
+    for slack in [k for k in (0, 1, 2, 3, 4, 5, 6, 8, 11, 15, 20, 27, 36, 48, 64, 85, 113, 150, 200) if k <= differ]:
         wanted = differ + 1 + slack + common
         for loose in {0, wanted // 8, wanted // 4, wanted // 2, (wanted + 1) // 2}:
             exact = max(wanted - 2 * loose, 0)
             if slack > exact:
                 continue
-            segments = exact + loose
-            fill = high * 0.9 / segments
-            rows = segments + loose * fill
-            alike = segments * max(math.exp(-2 * fill * (1 - SHARED)) - math.exp(-2 * fill + fill * SHARED), 0.0)
+            fill = high * 0.9 / (exact + WIDE * loose)
+            wide = fill * WIDE
+            rows = exact + loose * (1 + wide)
+            alike = exact * max(math.exp(-2 * fill * (1 - SHARED)) - math.exp(-2 * fill + fill * SHARED), 0.0)
             empty = exact * math.exp(-fill)
-            more = 1 - sum(math.exp(-empty) * empty**k / math.factorial(k) for k in range(slack + 1))
-            cost = rows + n_docs * (alike + max(more, 0.0) ** 2 + loose * math.exp(-2 * fill))
+            term = left = math.exp(-empty)
+            for k in range(1, slack + 1):
+                term *= empty / k
+                left += term
+            more = 1 - left
+            again = 1 - math.exp(-alike) * sum(alike**k / math.factorial(k) for k in range(common + 1))
+            nearly = loose * (math.exp(-wide) * (1 + wide)) ** 2  # a deletion can empty a loose segment
+            compare = PAIR_COST * max(1.0, high / 100)  # long texts cost more
+            cost = rows + n_docs * (alike + compare * (max(again, 0.0) + max(more, 0.0) ** 2) + nearly)
             if best is None or cost < best[0]:
-                best = cost, Allocation(segments, loose, slack, common)
+                best = cost, Allocation(exact + loose, loose, slack, common)
     return best[1]
 
 
 @lru_cache(maxsize=256)
-def _edges(segments: int) -> np.ndarray:
-    return np.array([(k << 64) // segments for k in range(1, segments)], np.uint64)
+def _edges(given: Allocation) -> np.ndarray:
+    """Where the segments after the first begin; loose ones are ``WIDE`` times as wide."""
+    exact = given.segments - given.loose
+    ends = [WIDE * k for k in range(1, given.loose + 1)] + [WIDE * given.loose + k for k in range(1, exact + 1)]
+    return np.array([(e << 64) // ends[-1] for e in ends[:-1]], np.uint64)
 
 
 def segment_values(hashes: np.ndarray, band: int, given: Allocation) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +169,9 @@ def segment_values(hashes: np.ndarray, band: int, given: Allocation) -> tuple[np
     with np.errstate(over="ignore"):
         own = _mix(hashes + np.uint64(0x2545F4914F6CDD1D))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-        cuts = np.concatenate([[0], np.searchsorted(hashes, _edges(given.segments)), [len(hashes)]])
+        cuts = np.concatenate([[0], np.searchsorted(hashes, _edges(given)), [len(hashes)]])
         subset = sums[cuts[1:]] - sums[cuts[:-1]]
-        place = (np.arange(given.segments, dtype=np.uint64) + np.uint64(band << 32)) * np.uint64(0x9FB21C651E98DF25)
+        place = (np.arange(given.segments, dtype=np.uint64) + np.uint64((band << 32) % (1 << 64))) * np.uint64(0x9FB21C651E98DF25)
         values = _mix(subset + place)
         empty = (cuts[1:] == cuts[:-1]) & (np.arange(given.segments) >= given.loose)
         if given.loose:
@@ -177,17 +192,29 @@ _CLASS_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.
 
 
 def _describe(batches):
-    """Size, digest, sketch and the first shingles of every set."""
+    """Size, digest, sketch and the first segments of every set."""
     for batch in batches:
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
             rows = []
             for doc_id, h in zip(part["id"].to_pylist(), shingle_sets(part["text"].to_pylist()), strict=True):
-                first = h[:FIRST_SHINGLES].view(np.int64).tolist()
+                first = _first_values(h).view(np.int64).tolist()
                 rows.append((doc_id, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first, *_sketch(h).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CLASS_SCHEMA, strict=True)], schema=_CLASS_SCHEMA)
 
 
+def _first_values(h: np.ndarray) -> np.ndarray:
+    """The smallest values of exact segments under two partitions, of which documents of like sizes have one in common at least."""
+    if len(h) < LEAST:
+        return np.empty(0, np.uint64)
+    power = max(1 << (len(h).bit_length() - 3), 1)
+    found = []
+    for segments in (power, 2 * power):
+        values, empty = segment_values(h, -segments, Allocation(segments, 0, 0, 0))
+        found.append(np.sort(values[~empty])[:FIRST_SEGMENTS])
+    return np.concatenate(found)
+
+
 def _id_filter(ids: DataFrame, id_col: str):
     """A condition that holds for all the ids, and for few others while they are fewer than the filter's bits."""
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
@@ -205,14 +232,18 @@ def _id_filter(ids: DataFrame, id_col: str):
     return condition
 
 
+def _fits():
+    """Sizes (na, nb) and sketches (a.., b..) that a linked pair may have: each shingle that differs turns one bit of the sketch."""
+    differ = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+    return (NEED[1] * F.least("na", "nb") >= NEED[0] * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
+
+
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and sketches allow to be linked."""
     lean = classes.select("id", "n", *_SKETCH)
     left = lean.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in _SKETCH])
     right = lean.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in _SKETCH])
-    differ = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    fits = (NEED[1] * F.least("na", "nb") >= NEED[0] * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_fits()).select("a", "b")
 
 
 def _compare(batches):
@@ -234,10 +265,13 @@ def _compare(batches):
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose texts are linked. Only texts of the pairs are moved."""
     ids = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-    wanted = texts.where(_id_filter(ids, "need")(F.col("id"))).dropDuplicates(["id"])
+    near = texts.where(_id_filter(ids, "need")(F.col("id")))
+    wanted = settle(near.join(ids.hint("merge"), F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]), "texts")
     second = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    return settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint"), "linked")
+    out = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint"), "linked")
+    drop_settled(wanted)
+    return out
 
 
 _BLOCK = "bucket int, docs binary, labels binary, sizes binary, vals binary, owners binary, flags binary"
@@ -294,7 +328,7 @@ def _file_segments(plan: list[tuple[int, int]], given: dict[int, Allocation], bu
                 ids = docs[used]
                 rows.append(
                     (bucket, _pack(np.diff(ids, prepend=0), "<i8"), _pack(ids - labels[used], "<i8"), _pack(sizes[used], "<u4"),
-                     _pack(values[a:b], "<u8"), _pack(local, "<u4"), _pack(flags[a:b], "u1"))
+                     _pack(np.diff(values[a:b], prepend=np.uint64(0)), "<u8"), _pack(local, "<u2"), _pack(flags[a:b], "u1"))
                 )
             a = b
         names = ["bucket", "docs", "labels", "sizes", "vals", "owners", "flags"]
@@ -318,26 +352,35 @@ def _file_segments(plan: list[tuple[int, int]], given: dict[int, Allocation], bu
     return run
 
 
-_FOUND = "value bigint, a bigint, b bigint, flags int"
+_FOUND = "value bigint, a bigint, b bigint, flags int, credits bigint, label bigint"
 
 
 def _meet(batches):
     """Within each value: pairs (a, b) of different components, or, if those are many, its documents (a, null).
 
-    Of the pairs, sizes must fit and one document at least must be of the value's own band.
+    Of the pairs, sizes must fit and one document at least must be of the value's own band. They come with the credits of the
+    bucket's values at which they meet, and in ``flags`` with those that common values may cost.
     """
 
     def bucket(rows):
+        parts = [np.cumsum(_unpack(r["vals"], "<u8"), dtype=np.uint64) for r in rows]
+        ordered = np.sort(np.concatenate(parts))
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         docs, labels, sizes, values, flags = [], [], [], [], []
-        for r in rows:
+        for r, v in zip(rows, parts, strict=True):
+            at = np.searchsorted(twice, v)
+            at[at == len(twice)] = 0
+            kept = np.flatnonzero(twice[at] == v) if len(twice) else np.empty(0, np.int64)
             ids = np.cumsum(_unpack(r["docs"], "<i8"))
-            at = _unpack(r["owners"], "<u4")
-            docs.append(ids[at])
-            labels.append((ids - _unpack(r["labels"], "<i8"))[at])
-            sizes.append(_unpack(r["sizes"], "<u4")[at].astype(np.int64))
-            values.append(_unpack(r["vals"], "<u8"))
-            flags.append(_unpack(r["flags"], "u1"))
+            own = _unpack(r["owners"], "<u2")[kept]
+            docs.append(ids[own])
+            labels.append((ids - _unpack(r["labels"], "<i8"))[own])
+            sizes.append(_unpack(r["sizes"], "<u4")[own].astype(np.int64))
+            values.append(v[kept])
+            flags.append(_unpack(r["flags"], "u1")[kept])
         values, labels, docs, sizes, flags = (np.concatenate(x) for x in (values, labels, docs, sizes, flags))
+        if not len(values):
+            return
         order = np.lexsort((docs, labels, values))
         values, labels, docs, sizes, flags = (x[order] for x in (values, labels, docs, sizes, flags))
         start = np.concatenate([[True], values[1:] != values[:-1]])
@@ -346,27 +389,35 @@ def _meet(batches):
         kinds = np.bincount(run, weights=other).astype(np.int64) + 1
         firsts = np.flatnonzero(start)
         ends = np.concatenate([firsts[1:], [len(values)]])
-        out_a, out_b = [], []
+        out_a, out_b, out_f = [], [], []
         for r in np.flatnonzero((kinds > 1) & (kinds <= COMMON)).tolist():
             s = slice(firsts[r], ends[r])
             d, c, n, f = docs[s], labels[s], sizes[s], flags[s] & 1
+            kind = int(flags[s.start]) & ~1
             for at in range(len(d) - 1):  # one document against those behind it, whatever their number
                 fit = (c[at + 1 :] != c[at]) & (NEED[1] * np.minimum(n[at + 1 :], n[at]) >= NEED[0] * np.maximum(n[at + 1 :], n[at])) & ((f[at + 1 :] & f[at]) == 0)
                 if fit.any():
                     found = d[at + 1 :][fit]
                     out_a.append(np.minimum(found, d[at]))
                     out_b.append(np.maximum(found, d[at]))
+                    out_f.append(np.full(len(found), kind, np.int64))
         common = (kinds > COMMON)[run]
-        pairs = np.unique(np.column_stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=0) if out_a else np.empty((0, 2), np.int64)
-        n, k = len(pairs), int(common.sum())
+        one, two, kind = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b, out_f))
+        order = np.lexsort((two, one))
+        one, two, kind = one[order], two[order], kind[order]
+        new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.empty(0, bool))
+        credits = np.add.reduceat(1 + ((kind >> 1) & 1), new) if len(new) else np.empty(0, np.int64)
+        n, k = len(new), int(common.sum())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.zeros(n, np.int64), values[common].view(np.int64)])),
-                pa.array(np.concatenate([pairs[:, 0], docs[common]])),
-                pa.array([*pairs[:, 1].tolist(), *[None] * k], pa.int64()),
-                pa.array(np.concatenate([np.zeros(n, np.int32), flags[common].astype(np.int32)])),
+                pa.array(np.concatenate([one[new], docs[common]])),
+                pa.array([*two[new].tolist(), *[None] * k], pa.int64()),
+                pa.array(np.concatenate([kind[new] >> 2, flags[common].astype(np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([credits, np.zeros(k, np.int64)])),
+                pa.array(np.concatenate([one[new], labels[common]])),
             ],
-            names=["value", "a", "b", "flags"],
+            names=["value", "a", "b", "flags", "credits", "label"],
         )
 
     last, rows = None, []
@@ -381,15 +432,40 @@ def _meet(batches):
         yield from bucket(rows)
 
 
-def _common_pairs(common: DataFrame) -> DataFrame:
-    """Pairs by values that many components share, of documents with more of these than they may leave out."""
-    credits = 1 + F.shiftright(F.col("flags").bitwiseAND(2), 1)
-    lots = common.groupBy("a").agg(F.sum(credits).alias("credits"), F.min(F.shiftright("flags", 2)).alias("allowed"))
-    asking = common.join(lots.where("credits > allowed").select("a"), "a", "left_semi")
-    left = asking.select("value", F.col("a").alias("x"), F.col("flags").alias("fx"))
-    right = common.select("value", F.col("a").alias("y"), F.col("flags").alias("fy"))
-    met = left.join(right, "value").where((F.col("x") != F.col("y")) & (F.col("fx").bitwiseAND(F.col("fy")).bitwiseAND(1) == 0))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _common_credits(common: DataFrame) -> DataFrame:
+    """(doc, credits, allowed): what a document has in common values, and may leave out of them."""
+    credits = F.sum(1 + F.shiftright(F.col("flags").bitwiseAND(2), 1))
+    return common.groupBy(F.col("a").alias("doc")).agg(credits.alias("credits"), F.min(F.shiftright("flags", 2)).alias("allowed"))
+
+
+def _common_pairs(common: DataFrame, lost: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs by values that many components share, of documents with more of these than they may leave out.
+
+    A linked pair that met by such values only has, on either side, more of them than that. Sizes and sketches are part of the join's
+    condition, so pairs that cannot be linked are never made.
+    """
+    lots = lost.where("credits > allowed").select(F.col("doc").alias("a"))
+    asking = common.join(lots, "a", "left_semi").join(heads.select(F.col("id").alias("a"), "n", *_SKETCH), "a")
+    left = asking.select("value", F.col("a").alias("x"), F.col("flags").alias("fx"), F.col("label").alias("lx"), F.col("n").alias("na"), *[F.col(k).alias(f"a{k}") for k in _SKETCH])
+    right = asking.select("value", F.col("a").alias("y"), F.col("flags").alias("fy"), F.col("label").alias("ly"), F.col("n").alias("nb"), *[F.col(k).alias(f"b{k}") for k in _SKETCH])
+    apart = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (F.col("fx").bitwiseAND(F.col("fy")).bitwiseAND(1) == 0)
+    met = left.join(right, "value").where(apart & _fits())
+    pairs = met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum(1 + F.shiftright(F.col("fx").bitwiseAND(2), 1)).alias("credits"), F.min(F.shiftright("fx", 2)).alias("allowed"))
+    return pairs.where("credits > allowed").select("a", "b")
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts of pairs are wide rows; batches of a few MB bound what a Python worker holds."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,8 +477,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have one text; repeated rows each come back. Rows with a null id are told apart by their row and come back with a null
     id and component: they join nothing. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with _small_batches(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+
+
+def _components(source: DataFrame) -> DataFrame:
+    spark = source.sparkSession
     classes = settle(source.mapInArrow(_describe, ", ".join(["id bigint, n bigint, digest binary, first array<bigint>", *[f"{s} bigint" for s in _SKETCH]])), "sets")
     sets = classes.where("n > 0 AND id IS NOT NULL")
     least = settle(sets.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
@@ -437,7 +517,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = placed.mapInArrow(_file_segments(plan, given, buckets), _BLOCK)
     dealt = blocks.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
     found = settle(dealt.mapInArrow(_meet, _FOUND), "met")
-    pairs = found.where("b IS NOT NULL").select("a", "b").union(_common_pairs(found.where("b IS NULL"))).distinct()
+    met = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("credits").alias("credits"), F.min("flags").alias("allowed"))
+    common = found.where("b IS NULL")
+    lost = settle(_common_credits(common), "lost")
+    often = met.join(lost.select(F.col("doc").alias("a"), F.col("credits").alias("la")), "a", "left")
+    often = often.join(lost.select(F.col("doc").alias("b"), F.col("credits").alias("lb")), "b", "left")
+    often = often.where(F.col("credits") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) > F.col("allowed"))
+    pairs = often.select("a", "b").union(_common_pairs(common, lost, heads)).distinct()
     more = _verified(settle(_possible(pairs, heads), "cross-pairs"), source)
     final = settle(connected_components(links.union(more)), "components")
 
