@@ -261,7 +261,7 @@ def record_values(spark: SparkSession, sf: str) -> DataFrame:
     loaded = records.Loaded(_raw_records(spark, sf), "log", 0)
     return loaded.events().select(
         F.col("source_line").alias("position"), "timestamp", "src_ip", "query", "qtype_name", "rcode_name", F.array_join("answers", "|").alias("answers"),
-        F.size("ttls").alias("n_ttls"), "aa", "rejected",
+        F.size("ttls").cast("double").alias("n_ttls"), "aa", "rejected",
     )
 
 
@@ -269,7 +269,7 @@ RECORD_VALUES_SQL = """WITH e AS (SELECT event_id AS position, event_id % 10 AS
 SELECT position, CASE k WHEN 0 THEN CAST(position AS DOUBLE) WHEN 1 THEN position + 0.5 WHEN 7 THEN 5.0 WHEN 8 THEN 60.0 ELSE 9.0 END AS timestamp,
   CASE k WHEN 0 THEN '10.0.0.' || (position % 256) ELSE '__unknown_src__' END AS src_ip, CASE k WHEN 0 THEN 'a' || position || '.example.com' ELSE '' END AS query,
   CASE k WHEN 0 THEN 'A' WHEN 7 THEN 'TYPE999' END AS qtype_name, CASE k WHEN 9 THEN 'NXDOMAIN' END AS rcode_name, CASE k WHEN 7 THEN 'a|b' WHEN 9 THEN '' END AS answers,
-  CASE k WHEN 1 THEN 2 WHEN 9 THEN 1 END AS n_ttls, CASE k WHEN 1 THEN TRUE END AS aa, CASE k WHEN 9 THEN FALSE END AS rejected FROM e"""
+  CASE k WHEN 1 THEN 2.0::DOUBLE WHEN 9 THEN 1.0::DOUBLE END AS n_ttls, CASE k WHEN 1 THEN TRUE END AS aa, CASE k WHEN 9 THEN FALSE END AS rejected FROM e"""
 
 
 def code_names(spark: SparkSession, sf: str) -> DataFrame:
