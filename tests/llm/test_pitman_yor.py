@@ -98,3 +98,16 @@ def test_probabilities_sum_to_one():
     for c in (5, 9):
         back = (1 + after["d1"] * after["tables"][c]) / (1 + after["customers"][c])
         assert abs(p[s.context == c].sum() + back * unseen - 1) < 1e-9
+
+
+def test_every_word_is_a_context(spark):
+    """Which word follows is learnt after long words and other scripts too, and contexts beyond a few thousand stay apart."""
+    from pyspark.sql import functions as F
+
+    pairs = [("предыдущее", "слово"), ("другое", "дело"), ("longer", "context")] + [(f"before{k}", f"after{k}") for k in range(6000)]
+    rows = [(1, f"{a} {b}") for a, b in pairs for _ in range(4)]
+    asked = [*pairs[:3], *pairs[3::500]]
+    rows += [(10 + 2 * k, f"{a} {b}") for k, (a, b) in enumerate(asked)] + [(11 + 2 * k, f"{a} {asked[k - 1][1]}") for k, (a, _) in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in pitman_yor.score_texts(docs, F.col("doc_id") >= 10).where("held_out").collect()}
+    assert all(got[10 + 2 * k] > got[11 + 2 * k] + 2 for k in range(len(asked)))

@@ -1,13 +1,14 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Restaurants: one for the words as such, whose base is uniform, and under it one for each context. A context is the word
-before, if it has at most two bytes, dealt to a fixed number of restaurants by hash; after any other word a customer sits
-in the parent at once. Tables of the context restaurants are customers of the parent.
+before, whichever it is; before a text's first word it is the end of a text. Tables of the context restaurants are
+customers of the parent.
 
 Nothing of the vocabulary's size is held in one place. Texts are cut into chunks; a chunk sends the distinct (word,
 context) pairs of its texts, with their training counts, to buckets of the words' hash. A bucket adds the counts up,
-samples the seating of its words, and answers each chunk with a probability for each pair it asked about. Only the totals
-of the restaurants, a fixed number, pass through the driver between the Gibbs sweeps.
+samples the seating of its words, and answers each chunk with a probability for each pair it asked about. A context's
+words lie in many buckets: after each Gibbs sweep every bucket reports its contexts' tables to their homes, ranges of the
+contexts' hash, which add them up and answer with the totals. Only sums over all restaurants pass through the driver.
 
 A sweep seats every restaurant anew by the Chinese restaurant process, given the totals and parents' probabilities of the
 sweep before; the predictive probabilities of the sweeps after the first are averaged.
@@ -15,27 +16,26 @@ sweep before; the predictive probabilities of the sweeps after the first are ave
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ._common import scratch, settle, shuffle_width, table
+from ._common import drop_settled, remove, scratch, settle, shuffle_width, table
 
-#: Context restaurants (a power of two, 0 is the parent itself), bytes of a word that has one.
-RESTAURANTS, CONTEXT_BYTES = 4096, 2
 #: Words of a chunk, about; buckets per shuffle partition.
 CHUNK_WORDS, BUCKETS_EACH = 4_000_000, 4
 #: Gibbs sweeps, of which the first ones are not averaged.
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 END = b" "  # no word holds a space
-_PARTS = "chunk bigint, bucket int, words binary, pairs binary, contexts binary, counts binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
+_PARTS = "chunk bigint, bucket int, words binary, pairs binary, heads binary, contexts binary, counts binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
 
 
 def _pack(values, dtype: str) -> bytes:
@@ -46,13 +46,31 @@ def _unpack(raw: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), dtype=dtype)
 
 
+def _pack_places(places: np.ndarray) -> bytes:
+    """Small numbers, in two bytes each if that holds them."""
+    return _pack(places, "<u2" if not len(places) or places.max() < 1 << 16 else "<u4")
+
+
+def _unpack_places(raw: bytes, n: int) -> np.ndarray:
+    plain = zstandard.decompress(raw)
+    return np.frombuffer(plain, dtype="<u2" if len(plain) == 2 * n else "<u4").astype(np.int64)
+
+
+def _pack_hashes(ordered: np.ndarray) -> bytes:
+    return _pack(np.diff(ordered, prepend=np.uint64(0)), "<u8")
+
+
+def _unpack_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, "<u8"), dtype=np.uint64)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 _PART_SCHEMA = pa.schema(
     [("chunk", pa.int64()), ("bucket", pa.int32())]
-    + [(n, pa.binary()) for n in ("words", "pairs", "contexts", "counts", "lengths", "places")]
+    + [(n, pa.binary()) for n in ("words", "pairs", "heads", "contexts", "counts", "lengths", "places")]
     + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
 )
 
@@ -87,30 +105,28 @@ class _Chunk:
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        short = np.fromiter(map(len, names), np.int64, len(names)) <= CONTEXT_BYTES
-        short[0] = False
-        restaurant = np.where(short, 1 + (hashes % np.uint64(RESTAURANTS - 1)).astype(np.int64), 0)
         tokens, lengths = np.concatenate(self.tokens), np.array(self.lengths)
         before = np.empty(len(tokens), np.int64)
-        before[1:] = restaurant[tokens[:-1]]
+        before[1:] = rank[tokens[:-1]]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        before[starts] = 0
-        keys, places = np.unique(rank[tokens] * RESTAURANTS + before, return_inverse=True)
+        before[starts] = rank[0]
+        keys, places = np.unique(rank[tokens] * len(names) + before, return_inverse=True)
         learnt = np.repeat(~np.array(self.held, bool), lengths)
         counts = np.bincount(places[learnt], minlength=len(keys))
         sorted_hashes = hashes[order]
         word_cuts = np.searchsorted(sorted_hashes, bucket_edges(buckets), side="right")
-        pair_cuts = np.searchsorted(keys, word_cuts * RESTAURANTS)
+        pair_cuts = np.searchsorted(keys, word_cuts * len(names))
         chunk, out, w0, p0 = uuid.uuid4().int >> 65, [], 0, 0
-        per_word = np.bincount(keys // RESTAURANTS, minlength=len(names))
+        per_word = np.bincount(keys // len(names), minlength=len(names))
         for bucket, (w1, p1) in enumerate(zip(word_cuts.tolist(), pair_cuts.tolist(), strict=True)):
             if w1 > w0:
+                heads, local = np.unique(keys[p0:p1] % len(names), return_inverse=True)
                 out.append(
-                    (chunk, bucket, _pack(sorted_hashes[w0:w1], "<u8"), _pack(per_word[w0:w1], "<u4"),
-                     _pack(keys[p0:p1] % RESTAURANTS, "<u2"), _pack(counts[p0:p1], "<u4"), None, None, None, None)
+                    (chunk, bucket, _pack_hashes(sorted_hashes[w0:w1]), _pack(per_word[w0:w1], "<u4"), _pack_hashes(sorted_hashes[heads]),
+                     _pack_places(local), _pack(counts[p0:p1], "<u4"), None, None, None, None)
                 )
             w0, p0 = w1, p1
-        out.append((chunk, -1, None, None, None, None, _pack(lengths, "<u4"), _pack(places, "<u4"), self.ids, self.held))
+        out.append((chunk, -1, None, None, None, None, None, _pack(lengths, "<u4"), _pack(places, "<u4"), self.ids, self.held))
         return out
 
 
@@ -143,21 +159,24 @@ def _by(key: str, batches):
         yield last, rows
 
 
-_BUCKET = "bucket int, words binary, pairs binary, contexts binary, counts binary, asked array<struct<chunk:bigint,places:binary>>"
+_BUCKET = "bucket int, words binary, pairs binary, heads binary, contexts binary, counts binary, asked array<struct<chunk:bigint,places:binary>>"
 
 
 def _add_up(batches):
     """A bucket's words and pairs with their counts, and for each chunk the places of the pairs it asked about."""
     for bucket, rows in _by("bucket", batches):
         words, contexts, counts, sizes = [], [], [], []
-        for r in rows:
+        own = [_unpack_hashes(r["heads"]) for r in rows]
+        heads = np.unique(np.concatenate(own))
+        for r, h in zip(rows, own, strict=True):
             per_word = _unpack(r["pairs"], "<u4")
-            words.append(np.repeat(_unpack(r["words"], "<u8"), per_word))
-            contexts.append(_unpack(r["contexts"], "<u2").astype(np.int64))
+            words.append(np.repeat(_unpack_hashes(r["words"]), per_word))
+            contexts.append(np.searchsorted(heads, h)[_unpack_places(r["contexts"], int(per_word.sum()))] + 1)
             counts.append(_unpack(r["counts"], "<u4").astype(np.int64))
             sizes.append(len(contexts[-1]))
         names, at = np.unique(np.concatenate(words), return_inverse=True)
-        keys, places = np.unique(at * RESTAURANTS + np.concatenate(contexts), return_inverse=True)
+        width = len(heads) + 1
+        keys, places = np.unique(at * width + np.concatenate(contexts), return_inverse=True)
         total = np.bincount(places, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
         cuts = np.cumsum([0, *sizes])
         asked = [{"chunk": r["chunk"], "places": _pack(places[a:b], "<u4")} for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)]
@@ -165,12 +184,13 @@ def _add_up(batches):
             [
                 pa.array([bucket], pa.int32()),
                 pa.array([_pack(names, "<u8")], pa.binary()),
-                pa.array([_pack(np.bincount(keys // RESTAURANTS, minlength=len(names)), "<u4")], pa.binary()),
-                pa.array([_pack(keys % RESTAURANTS, "<u2")], pa.binary()),
+                pa.array([_pack(np.bincount(keys // width, minlength=len(names)), "<u4")], pa.binary()),
+                pa.array([_pack_hashes(heads)], pa.binary()),
+                pa.array([_pack_places(keys % width)], pa.binary()),
                 pa.array([_pack(total, "<u8")], pa.binary()),
                 pa.array([asked], pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))),
             ],
-            names=["bucket", "words", "pairs", "contexts", "counts", "asked"],
+            names=["bucket", "words", "pairs", "heads", "contexts", "counts", "asked"],
         )
 
 
@@ -198,13 +218,13 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng) ->
 
 
 class _Seats:
-    """A bucket's words under given totals."""
+    """A bucket's words under given totals. Contexts are places from 1 in the bucket's heads; 0 is the parent itself."""
 
     def __init__(self, row: dict):
         self.bucket = row["bucket"]
         self.hashes = _unpack(row["words"], "<u8")
         self.word = np.repeat(np.arange(len(self.hashes)), _unpack(row["pairs"], "<u4"))
-        self.context = _unpack(row["contexts"], "<u2").astype(np.int64)
+        self.context = _unpack_places(row["contexts"], len(self.word))
         self.count = _unpack(row["counts"], "<u8").astype(np.int64)
         self.seen = np.bincount(self.word, weights=self.count, minlength=len(self.hashes)).astype(np.int64)
 
@@ -242,66 +262,124 @@ class _Seats:
         return np.where(c > 0, inside, p)
 
 
-_TOTALS = "place int, customers bigint, tables bigint"
-#: Places of totals behind those of the restaurants.
-_PARENT, _SEEN, _ONCE, _ONCE_WORD = (RESTAURANTS + k for k in range(4))
+_HOMES = "home int, asked array<struct<bucket:int,places:binary>>"
+_REPORT = "home int, bucket int, customers binary, tables binary, sums array<bigint>"
+_REPORT_SCHEMA = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_TOTALS = "bucket int, home int, customers binary, tables binary"
+_TOTALS_SCHEMA = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
 
 
-def _totals(g: dict | None, sweep: int):
-    """Sums of a partition's buckets: by restaurant, of the parent, of words and tokens, and of counts of one and two."""
+def _slices(heads: np.ndarray, homes: int):
+    """(home, start, end) of the ordered heads of each home that has some."""
+    cuts = np.searchsorted(heads, bucket_edges(homes), side="right").tolist()
+    return [(h, a, b) for h, (a, b) in enumerate(zip([0, *cuts], cuts)) if b > a]
 
+
+def _to_homes(homes: int):
     def run(batches):
-        customers, tables = np.zeros(RESTAURANTS + 4, np.int64), np.zeros(RESTAURANTS + 4, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Seats(row)
-                own = s.context > 0
+                heads = _unpack_hashes(row["heads"])
+                for home, a, b in _slices(heads, homes):
+                    yield pa.RecordBatch.from_pydict({"home": pa.array([home], pa.int32()), "bucket": pa.array([row["bucket"]], pa.int32()), "heads": pa.array([_pack_hashes(heads[a:b])], pa.binary())})
+
+    return run
+
+
+def _settle_homes(batches):
+    """For each home, and each bucket that has contexts there, their places among the home's contexts."""
+    for home, rows in _by("home", batches):
+        heads = [_unpack_hashes(r["heads"]) for r in rows]
+        known = np.unique(np.concatenate(heads))
+        asked = [{"bucket": r["bucket"], "places": _pack(np.searchsorted(known, h), "<u4")} for r, h in zip(rows, heads, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([home], pa.int32()), pa.array([asked], pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary())])))], names=["home", "asked"]
+        )
+
+
+def _add_reports(batches):
+    """The reports of a home's buckets added up, and the totals for each bucket. Customers come with the first reports only."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            places = {a["bucket"]: _unpack(a["places"], "<u4") for a in row["asked"]}
+            size = max(int(p.max()) for p in places.values()) + 1
+            sums = {}
+            for name in ("customers", "tables"):
+                given = [r for r in row["reports"] if r[name] is not None]
+                sums[name] = np.zeros(size, np.int64) if given else None
+                for r in given:
+                    sums[name][places[r["bucket"]]] += _unpack(r[name], "<u8").astype(np.int64)
+            for bucket, p in places.items():
+                packed = [None if sums[name] is None else _pack(sums[name][p], "<u8") for name in ("customers", "tables")]
+                yield _rows([(bucket, row["home"], *packed)], _TOTALS_SCHEMA)
+
+
+def _local(totals: list[dict], name: str) -> np.ndarray:
+    """A bucket's totals by place: those of its homes one after the other, behind the parent's place."""
+    return np.concatenate([[0.0], *[_unpack(r[name], "<u8").astype(float) for r in sorted(totals, key=lambda r: r["home"])]])
+
+
+def _report(g: dict | None, sweep: int, homes: int):
+    """Of each bucket: customers and tables of its contexts for their homes; home -1 has sums over all of them."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                s, heads = _Seats(row), _unpack_hashes(row["heads"])
                 if g is None:
-                    found = np.where(own, s.count > 0, s.count)
+                    found = (s.count > 0).astype(np.int64)
                     at = s.sums(found)
                     seats = found, at, at > 0
                 else:
-                    seats = s.sample(g, sweep)
-                customers[:RESTAURANTS] += np.bincount(s.context[own], weights=s.count[own], minlength=RESTAURANTS).astype(np.int64)
-                tables[:RESTAURANTS] += np.bincount(s.context[own], weights=seats[0][own], minlength=RESTAURANTS).astype(np.int64)
-                for place, a, b in (
-                    (_PARENT, seats[1].sum(), seats[2].sum()),
-                    (_SEEN, s.seen.sum(), (s.seen > 0).sum()),
-                    (_ONCE, (s.count[own] == 1).sum(), (s.count[own] == 2).sum()),
-                    (_ONCE_WORD, (s.seen == 1).sum(), (s.seen == 2).sum()),
-                ):
-                    customers[place] += int(a)
-                    tables[place] += int(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RESTAURANTS + 4, dtype=np.int32)), pa.array(customers), pa.array(tables)], names=["place", "customers", "tables"])
+                    seats = s.sample(g | {"tables": _local(row["t0"], "tables")}, sweep)
+                add = lambda per_pair: np.bincount(s.context, weights=per_pair, minlength=len(heads) + 1)[1:]  # noqa: E731, B023
+                customers, tables = add(s.count) if g is None else None, add(seats[0])
+                out = [
+                    (home, s.bucket, None if customers is None else _pack(customers[a:b], "<u8"), _pack(tables[a:b], "<u8"), None)
+                    for home, a, b in _slices(heads, homes)
+                ]
+                sums = (
+                    seats[1].sum(), seats[2].sum(), s.seen.sum(), (s.seen > 0).sum(), (s.count == 1).sum(), (s.count == 2).sum(), (s.seen == 1).sum(), (s.seen == 2).sum()
+                )
+                out.append((-1, s.bucket, None, None, [int(x) for x in sums]))
+                yield _rows(out, _REPORT_SCHEMA)
 
     return run
 
 
-def _gather(buckets: DataFrame, g: dict | None, sweep: int) -> dict:
-    rows = buckets.mapInArrow(_totals(g, sweep), _TOTALS).groupBy("place").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
-    customers, tables = np.zeros(RESTAURANTS + 4), np.zeros(RESTAURANTS + 4)
-    for r in rows:
-        customers[r["place"]], tables[r["place"]] = r["customers"], r["tables"]
+def _gather(words: DataFrame, places: DataFrame, homes: int, g: dict | None, sweep: int) -> tuple[dict, DataFrame]:
+    """Sums over all restaurants after a sweep, and (bucket, t) with the totals of each bucket's contexts."""
+    reports = settle(words.mapInArrow(_report(g, sweep, homes), _REPORT), "lm-reports")
+    n = 8
+    row = reports.where("home < 0").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(f"s{k}") for k in range(n)]).first()
+    customers0, tables0, tokens, vocabulary, once, twice, once_word, twice_word = (int(row[k]) for k in range(n))
 
-    def discount(place: int) -> float:
-        once, twice = customers[place], tables[place]
+    def discount(once: int, twice: int) -> float:
         return float(min(max(once / (once + 2 * twice), 0.1), 0.95)) if once else 0.5
 
-    return {
-        "customers": customers[:RESTAURANTS], "tables": tables[:RESTAURANTS], "customers0": customers[_PARENT], "tables0": tables[_PARENT],
-        "tokens": int(customers[_SEEN]), "vocabulary": int(tables[_SEEN]), "kinds": tables[_SEEN] + 1, "d1": discount(_ONCE), "d0": discount(_ONCE_WORD),
+    by_home = reports.where("home >= 0").groupBy("home").agg(F.collect_list(F.struct("bucket", "customers", "tables")).alias("reports"))
+    totals = settle(places.join(by_home.hint("merge"), "home").mapInArrow(_add_reports, _TOTALS), "lm-totals")
+    drop_settled(reports)
+    sums = {
+        "customers0": float(customers0), "tables0": float(tables0), "tokens": tokens, "vocabulary": vocabulary, "kinds": float(vocabulary + 1),
+        "d1": discount(once, twice), "d0": discount(once_word, twice_word),
     }
+    return sums, totals.groupBy("bucket").agg(F.collect_list(F.struct("home", "customers", "tables")).alias("t"))
 
 
 _ANSWER = "chunk bigint, bucket int, logs binary, seen binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
 
 
-def _answer(samples: list[tuple[dict, dict, int]]):
+def _answer(sums: list[dict], sweeps: list[int]):
+    """Probabilities for the chunks; the column ``t{s}`` has the bucket's totals after sweep ``s``."""
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 s = _Seats(row)
-                p = np.mean([s.predict(s.sample(given, sweep), after) for given, after, sweep in samples], axis=0)
+                customers = _local(row["t0"], "customers")
+                g = {k: sums[k] | {"tables": _local(row[f"t{k}"], "tables"), "customers": customers} for k in {*sweeps, *[k - 1 for k in sweeps]}}
+                p = np.mean([s.predict(s.sample(g[k - 1], k), g[k]) for k in sweeps], axis=0)
                 logs, seen = np.log10(p), s.seen[s.word]
                 for ask in row["asked"]:
                     at = _unpack(ask["places"], "<u4")
@@ -340,6 +418,12 @@ def _score(tokens: int, vocabulary: int):
     return run
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files that no table in use needs; it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col, parts: int = 7, part: int = 2):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == part
 
@@ -358,21 +442,39 @@ def score_texts(docs: DataFrame, held=None, id_col: str = "doc_id", text_col: st
     path = scratch(spark, "lm-chunks")
     source.mapInArrow(_chunks(buckets), _PARTS).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("pairs")).write.partitionBy("kind").parquet(path)
     parts = spark.read.schema(f"{_PARTS}, kind string").parquet(path)
-    asked = parts.where("kind = 'pairs'").select("bucket", "chunk", "words", "pairs", "contexts", "counts")
-    dealt = asked.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "chunk")
+    pairs = parts.where("kind = 'pairs'").select("bucket", "chunk", "words", "pairs", "heads", "contexts", "counts")
+    dealt = pairs.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "chunk")
     added = settle(dealt.mapInArrow(_add_up, _BUCKET), "lm-buckets")
-    lean = added.select("bucket", "words", "pairs", "contexts", "counts")
-    totals = [_gather(lean, None, 0)]
-    for sweep in range(1, SWEEPS + 1):
-        totals.append(_gather(lean, totals[-1], sweep))
-    samples = [(totals[s - 1], totals[s], s) for s in range(BURN_IN + 1, SWEEPS + 1)]
-    answers = added.mapInArrow(_answer(samples), _ANSWER)
+    del pairs, dealt
+    remove(spark, f"{path}/kind=pairs")
+    _free_shuffles(spark)
+    homes = shuffle_width(spark)
+    lean = added.select("bucket", "words", "pairs", "heads", "contexts", "counts").repartition(homes, "bucket").persist(StorageLevel.DISK_ONLY)
+    heads = added.select("bucket", "heads").mapInArrow(_to_homes(homes), "home int, bucket int, heads binary")
+    places = heads.repartition(homes, "home").sortWithinPartitions("home", "bucket").mapInArrow(_settle_homes, _HOMES)
+    places = settle(places, "lm-homes").repartition(homes, "home").persist(StorageLevel.DISK_ONLY)
+    sums, totals = [], []
+    for sweep in range(SWEEPS + 1):
+        words = lean.join(totals[-1].withColumnRenamed("t", "t0").hint("merge"), "bucket") if sweep else lean
+        g, after = _gather(words, places, homes, sums[-1] if sweep else None, sweep)
+        sums.append(g)
+        totals.append(after)
+    del words
+    for kept in (lean, places):
+        kept.unpersist(True)
+    del lean, places
+    _free_shuffles(spark)
+    every = added
+    for k, after in enumerate(totals):
+        if k == 0 or k >= BURN_IN:
+            every = every.join(after.withColumnRenamed("t", f"t{k}").hint("merge"), "bucket")
+    answers = every.mapInArrow(_answer(sums, list(range(BURN_IN + 1, SWEEPS + 1))), _ANSWER)
     texts = parts.where("kind = 'texts'").select(
         "chunk", "bucket", F.lit(None).cast("binary").alias("logs"), F.lit(None).cast("binary").alias("seen"), "lengths", "places", "ids", "held"
     )
     both = texts.unionByName(answers).repartition(shuffle_width(spark), "chunk").sortWithinPartitions("chunk", "bucket")
     return both.mapInArrow(
-        _score(totals[0]["tokens"], totals[0]["vocabulary"]),
+        _score(sums[0]["tokens"], sums[0]["vocabulary"]),
         "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
 
