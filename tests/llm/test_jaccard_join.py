@@ -71,6 +71,28 @@ def test_against_all_pairs(spark, tmp_path, seed, monkeypatch):
     assert {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in got} == want
 
 
+@pytest.mark.parametrize("common", [64, 3])
+def test_links_against_all_pairs(spark, tmp_path, common, monkeypatch):
+    """Links within a group of near copies are found too, not only those that its component needs."""
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
+    rng = random.Random(common)
+    near = [" ".join(f"n{k}" for k in range(120) if k != j) for j in (*range(0, 12), 30, 60, 119)]
+    rows = [(i * 3 % 1000, t, "en", "s", 1) for i, t in enumerate([*texts(rng, 150), *near, near[0]])] + [r for r in odd_rows() if r[0]]
+    folder = table(spark, "documents", rows, folder=str(tmp_path))
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i] or i, i)
+    heads = [i for i in sorted(least.values()) if sets[i]]
+    want = {(a, b) for k, a in enumerate(heads) for b in heads[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    n_links = {i: sum(least[sets[i] or i] in pair for pair in want) for i in sets}
+    found = jaccard_join.jaccard_links(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert len(found) == len(want) and {(r["a"], r["b"]) for r in found} == want
+    got = jaccard_join.op1_jaccard_links(spark, folder).collect()
+    assert len(got) == len(rows)
+    assert {g["doc_id"]: (g["class_id"], g["n_links"]) for g in got} == {i: (least[sets[i] or i], n_links[i]) for i in sets}
+
+
 def test_tight_sizes(spark, tmp_path):
     """Sets of 4 to 12 shingles of which one is the other's beginning: linked exactly from four fifths on."""
     rows = [(100 * b + n, " ".join(f"b{b}w{k}" for k in range(n + 4)), "en", "s", 1) for b in range(8) for n in (4 + b, (4 + b) * 5 // 4, (4 + b) * 5 // 4 + 1)]

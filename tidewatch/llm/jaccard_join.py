@@ -15,6 +15,7 @@ both texts are compared. Nothing is decided by a hash of a set alone.
 The steps: 1. sizes, digests, sketches; equal sets become one class. 2. A few segments of each class find most
 links early: every document is compared with the smallest one that shares such a segment, which is linear in the
 documents. 3. All segments; within a segment's value only documents of different components are compared. 4. Components.
+Where the links themselves are asked for, steps 2 and 4 are left out and every class is a component of its own in 3.
 """
 
 from __future__ import annotations
@@ -481,19 +482,74 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
 
 
-def _components(source: DataFrame) -> DataFrame:
-    spark = source.sparkSession
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b), a < b: every link of similarity 0.8 or more between two classes, by their smallest ids.
+
+    Sets, classes and nulls are those of ``jaccard_components``; documents of one class are linked with each other and, all alike, with
+    the classes that theirs is linked with. No component stands in for a link: all candidates are compared.
+    """
+    with _small_batches(docs.sparkSession):
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        _, _, member, heads = _classes(source)
+        copies = member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label"))
+        return _cross_links(source, heads, settle(copies, "copies"))
+
+
+def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links) for every row: the number of other classes that the row's class is linked with."""
+    with _small_batches(docs.sparkSession):
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        classes, least, member, heads = _classes(source)
+        copies = member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label"))
+        links = _cross_links(source, heads, settle(copies, "copies"))
+        ends = links.select(F.col("a").alias("node")).unionAll(links.select("b"))
+        counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        out = _own_class(classes, least).join(counts.hint("merge"), F.col("class_id") == F.col("node"), "left")
+        return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, smallest id by digest, class of every id with a set, and the sets of the classes' smallest ids."""
     classes = settle(source.mapInArrow(_describe, ", ".join(["id bigint, n bigint, digest binary, first array<bigint>", *[f"{s} bigint" for s in _SKETCH]])), "sets")
     sets = classes.where("n > 0 AND id IS NOT NULL")
     least = settle(sets.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     member = sets.join(least.hint("merge"), "digest").select("id", "class_id")
     heads = settle(sets.join(least.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "heads")
+    return classes, least, member, heads
+
+
+def _own_class(classes: DataFrame, least: DataFrame) -> DataFrame:
+    out = classes.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("own"))
+    return out.join(least.hint("merge"), F.col("own") == F.col("digest"), "left")
+
+
+def _components(source: DataFrame) -> DataFrame:
+    classes, least, member, heads = _classes(source)
     filed = heads.where(F.col("n") >= LEAST).select("id", F.explode("first").alias("value"))
     shared = filed.groupBy("value").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("value", "a")
     stars = filed.join(settle(shared, "shared").hint("merge"), "value").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = _verified(settle(_possible(stars, heads), "star-pairs"), source)
     labels = settle(connected_components(links), "labels")
+    moved = settle(
+        member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label")).union(
+            labels.where("node <> component").select("node", "component").join(heads.select("id"), F.col("node") == F.col("id"), "left_semi")
+        ),
+        "moved",
+    )
+    more = _cross_links(source, heads, moved)
+    final = settle(connected_components(links.union(more)), "components")
+    out = _own_class(classes, least).join(final.hint("merge"), F.col("class_id") == F.col("node"), "left")
+    return out.select(
+        "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")
+    )
 
+
+def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes' smallest ids whose labels differ.
+
+    A document's label is its own id unless ``moved`` has another; those with a null label there are left out.
+    """
+    spark = source.sparkSession
     stats = heads.where(F.col("n") >= LEAST).groupBy("n").agg(F.count(F.lit(1)).alias("docs"))
     top = stats.agg(F.max("n")).first()[0] or 1
     plan = bands(int(top))
@@ -501,12 +557,6 @@ def _components(source: DataFrame) -> DataFrame:
     band_docs = {r["band"]: r["docs"] for r in stats.groupBy(F.size(F.filter(edges, lambda h: h < F.col("n"))).alias("band")).agg(F.sum("docs").alias("docs")).collect()}
     given = {b: allocate(plan[b][1], band_docs.get(b, 0) + band_docs.get(b + 1, 0)) for b in range(len(plan)) if band_docs.get(b)}
 
-    moved = settle(
-        member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label")).union(
-            labels.where("node <> component").select("node", "component").join(heads.select("id"), F.col("node") == F.col("id"), "left_semi")
-        ),
-        "moved",
-    )
     is_moved = _id_filter(moved.select("id"), "id")
     once = source.where("id IS NOT NULL")
     still = once.where(~is_moved(F.col("id"))).withColumn("label", F.col("id"))
@@ -524,15 +574,7 @@ def _components(source: DataFrame) -> DataFrame:
     often = often.join(lost.select(F.col("doc").alias("b"), F.col("credits").alias("lb")), "b", "left")
     often = often.where(F.col("credits") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) > F.col("allowed"))
     pairs = often.select("a", "b").union(_common_pairs(common, lost, heads)).distinct()
-    more = _verified(settle(_possible(pairs, heads), "cross-pairs"), source)
-    final = settle(connected_components(links.union(more)), "components")
-
-    out = classes.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("own"))
-    out = out.join(least.hint("merge"), F.col("own") == F.col("digest"), "left")
-    out = out.join(final.hint("merge"), F.col("class_id") == F.col("node"), "left")
-    return out.select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")
-    )
+    return _verified(settle(_possible(pairs, heads), "cross-pairs"), source)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -540,6 +582,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document and the number of other classes it is linked with."""
+    return jaccard_link_counts(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws

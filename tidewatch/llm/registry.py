@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
-from .jaccard_join import OP1_SQL, op1_jaccard_join
+from .jaccard_join import OP1_SQL, op1_jaccard_join, op1_jaccard_links
 from .licenses import op5_license_scan
 from .mixing import op2_mix_sources
 from .pitman_yor import op8_lm_score
@@ -17,6 +17,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op1_jaccard_links": op1_jaccard_links,
         "op2_mix_sources": op2_mix_sources,
         "op4_decontaminate": op4_decontaminate,
         "op3_url_filter": op3_url_filter,
