@@ -229,3 +229,14 @@ def test_whole_study(spark, tmp_path):
     with pytest.raises(FileExistsError):
         experiment.run(spark, config)
     assert math.isfinite(rows[0]["inference_ms_per_event"]) and records.EVENT_COLUMNS
+
+
+def test_neighbours_are_the_nearest(spark, monkeypatch):
+    """All k of them, ties by number, when the class is many blocks."""
+    monkeypatch.setattr(preprocess, "NEIGHBOUR_ROWS", 16)
+    rng = random.Random(9)
+    points = [[float(rng.randrange(6)), rng.choice([0.0, 1e3]) + rng.randrange(4), rng.random() * (i % 2)] for i in range(150)] + [[5e6, 0.0, 0.0]]
+    own = spark.createDataFrame(list(enumerate(points)), "_n bigint, v array<double>")
+    got = {r["_n"]: r["_near"] for r in preprocess._neighbours(own, "v", 5).collect()}
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+    assert got == {i: sorted((j for j in range(len(points)) if j != i), key=lambda j: (far(points[i], points[j]), j))[:5] for i in range(len(points))}

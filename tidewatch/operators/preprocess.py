@@ -10,12 +10,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRATEGIES = ("auto", "minority", "not majority", "not minority", "all")
-#: Rows of a class up to which neighbours are found by comparing all with all in blocks; beyond, by random projections.
-EXACT_NEIGHBOURS = 20_000
+#: Rows of a block of the class, which is compared with every other block.
+NEIGHBOUR_ROWS = 1024
 
 
 @dataclass
@@ -149,45 +149,53 @@ def safe_neighbours(k: int, n_minority: int) -> int:
     return out
 
 
-def _neighbours(own: DataFrame, vector: str, k: int, n: int) -> DataFrame:
+def _neighbours(own: DataFrame, vector: str, k: int) -> DataFrame:
     """(_n, _near): the numbers of each row's k nearest other rows, ties by number.
 
-    Up to ``EXACT_NEIGHBOURS`` rows the class itself, of that checked size, is sent to every executor and each block of rows is compared with it; beyond, a random-projection
-    index proposes rows whose distances are then exact (its length grows until every row has k).
+    Exact at every size: each block of rows is compared with each block of the class, of which the nearest so far are kept. That is
+    quadratic in the class; no more than two blocks are held at once.
     """
-    if n <= EXACT_NEIGHBOURS:
-        import numpy as np
-        import pandas as pd
-
-        all_rows = own.select("_n", vector).orderBy("_n").collect()
-        sent = own.sparkSession.sparkContext.broadcast(np.array([r[vector] for r in all_rows], dtype=float).reshape(len(all_rows), -1))
-
-        def nearest(batches):
-            points = sent.value
-            squares = (points**2).sum(1)
-            for pdf in batches:
-                near = []
-                for a in range(0, len(pdf), 256):
-                    x = np.array(pdf[vector].iloc[a : a + 256].tolist(), dtype=float).reshape(-1, points.shape[1])
-                    d = squares[None, :] - 2 * x @ points.T
-                    d[np.arange(len(x)), pdf["_n"].iloc[a : a + 256].to_numpy()] = np.inf
-                    near += np.argsort(d, axis=1, kind="stable")[:, :k].tolist()
-                yield pd.DataFrame({"_n": pdf["_n"], "_near": near})
-
-        return own.select("_n", vector).mapInPandas(nearest, "_n bigint, _near array<bigint>")
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    points = own.select("_n", array_to_vector(vector).alias("v"))
-    length, found = 2.0, None
-    while True:
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=4, seed=7).fit(points)
-        pairs = model.approxSimilarityJoin(points, points, float("inf"), "d").select(F.col("datasetA._n").alias("_n"), F.col("datasetB._n").alias("m"), "d").where("_n <> m")
-        by = Window.partitionBy("_n").orderBy("d", "m")
-        found = pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda x: x["m"]).alias("_near")).persist()
-        if found.where(F.size("_near") >= k).count() == n or length > 1e6:
-            return found
-        length *= 4
+    import numpy as np
+    import pyarrow as pa
+
+    block = F.floor(F.col("_n") / F.lit(NEIGHBOUR_ROWS)).alias("block")
+    listed = own.select(block, F.struct("_n", F.col(vector).alias("v")).alias("row")).groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    blocks = listed.select("block", F.col("rows._n").alias("n"), F.flatten("rows.v").alias("x")).persist()
+    wide = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = blocks.repartition(wide, "block").select("block", "n", "x").crossJoin(blocks.select(F.col("n").alias("m"), F.col("x").alias("y")))
+
+    def rows_of(numbers, near, far):
+        size = near.shape[1]
+        items = pa.StructArray.from_arrays([pa.array(far.ravel()), pa.array(near.ravel())], names=["d", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.ListArray.from_arrays(pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * size), items)], names=["_n", "near"])
+
+    def nearest(batches):
+        last, numbers, near, far = None, None, None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                n, x, m, y = (batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in ("n", "x", "m", "y"))
+                x, y = x.reshape(len(n), -1), y.reshape(len(m), -1)
+                d = np.zeros((len(n), len(m)))
+                for f in range(x.shape[1]):
+                    apart = x[:, f, None] - y[None, :, f]
+                    d += apart * apart
+                d[n[:, None] == m[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                d, m = np.take_along_axis(d, best, 1), m[best]
+                if last == batch.column("block")[i].as_py():
+                    d, m = np.concatenate([far, d], 1), np.concatenate([near, m], 1)
+                    best = np.lexsort((m, d), axis=1)[:, :k]
+                    d, m = np.take_along_axis(d, best, 1), np.take_along_axis(m, best, 1)
+                elif last is not None:
+                    yield rows_of(numbers, near, far)
+                last, numbers, near, far = batch.column("block")[i].as_py(), n, m, d
+        if last is not None:
+            yield rows_of(numbers, near, far)
+
+    found = pairs.mapInArrow(nearest, "_n bigint, near array<struct<d:double,m:bigint>>")
+    merged = found.groupBy("_n").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    others = F.filter("near", lambda e: e["m"] != F.col("_n"))
+    return merged.select("_n", F.transform(F.slice(others, 1, k), lambda e: e["m"]).alias("_near"))
 
 
 def smote(
@@ -217,7 +225,7 @@ def smote(
                 for r in own.select(c).distinct().collect():
                     parts.append((F.col(c) == F.lit(r[c])).cast("double") * F.lit(weight / math.sqrt(2)))
         own = own.withColumn("_v", F.array(*parts)).persist()
-        near = _neighbours(own, "_v", near_k, counts[cls])
+        near = _neighbours(own, "_v", near_k)
         spark = matrix.sparkSession
         roll = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.lit(cls), F.col("id")), F.lit(1 << 40))
         draws = spark.range(extra).select("id", (roll(1) % counts[cls]).alias("_draw"), (roll(2) % near_k).cast("int").alias("_which"), (roll(3) / float(1 << 40)).alias("_u"))
