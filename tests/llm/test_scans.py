@@ -66,6 +66,17 @@ def test_license_suppression(spark):
         assert re.search(licenses.ROOTS, f" {rule.keyword} ") or re.search(licenses.ROOTS, f"{rule.pattern.split('(?=')[0]} "), rule
 
 
+def test_license_versions_attached(spark):
+    want = {
+        "released under GPLv3": {("gpl", 1.0)}, "it is GPLv2+ code": {("gpl", 0.9)}, "see GPLv3.0-or-later": {("gpl", 0.9)}, "LGPLv2.1": {("lgpl", 0.9)}, "(AGPLv3)": {("agpl", 0.9)},
+        "the GNU GPLv3 text": {("gpl", 0.9)}, "GPL3 or MPLv2.0": {("gpl", 0.9), ("mpl", 0.9)}, "GPLv 3": {("gpl", 0.9)}, "GPL version 2": {("gpl", 0.9)}, "CDDLv1": {("cddl", 0.6)},
+        "GPLv": {("gpl", 0.6)}, "gplvx gplx3 xgplv3 gplv33": set(),
+    }
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r["text"]: {(d["label"], d["confidence"]) for d in r["licenses"]} for r in licenses.scan_licenses(df).collect()} == want
+
+
+
 def test_secret_base(spark, rows, folder):
     want = []
     for r in rows:

@@ -26,7 +26,7 @@ BASE_PHRASES = (
 
 #: label: names; versions, as words. Fixed names of public licenses.
 FAMILIES = (
-    ("gpl", ("gnu general public license", "gnu gpl", "gpl", "gplv"), ("1", "2", "3", "2 0", "3 0")),
+    ("gpl", ("gnu general public license", "gnu gpl", "gpl"), ("1", "2", "3", "2 0", "3 0")),
     ("lgpl", ("gnu lesser general public license", "gnu library general public license", "lgpl"), ("2", "2 1", "3", "3 0")),
     ("agpl", ("gnu affero general public license", "agpl"), ("1", "3", "3 0")),
     ("gfdl", ("gnu free documentation license", "gfdl"), ("1 1", "1 2", "1 3")),
@@ -65,6 +65,8 @@ FAMILIES = (
     ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderivatives"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
 )
+#: Short names that are written with the version attached, as in GPLv3 and LGPLv2.1, also as the last word of a longer name.
+SHORT = ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "cddl", "eupl")
 #: label, keyword, pattern over the spaced words, confidence. Texts of the licenses themselves.
 TEXT_RULES = (
     ("mit", "permission is hereby granted", r" permission is hereby granted free of charge to any person obtaining a copy(?= )", 1.0),
@@ -83,7 +85,7 @@ TEXT_RULES = (
     ("proprietary", "proprietary and confidential", r" proprietary and confidential(?= )", 0.8),
 )
 #: Words of which every rule's text holds at least one.
-ROOTS = r" (?:licen[sc]e|licensed|unlicense|[al]?gplv?\d?|mpl|epl|cddl|eupl|gfdl|wtfpl|odbl|apache|bsd|cc0?|creative commons|psf|spdx|permission|redistribution|neither the name|software you|source code form|unencumbered|software is provided|public domain|rights reserved|proprietary)(?= )"
+ROOTS = r" (?:licen[sc]e|licensed|unlicense|(?:[al]?gpl|mpl|epl|cddl|eupl|gfdl)v?\d?|wtfpl|odbl|apache|bsd|cc0?|creative commons|psf|spdx|permission|redistribution|neither the name|software you|source code form|unencumbered|software is provided|public domain|rights reserved|proprietary)(?= )"
 
 
 @dataclass(frozen=True)
@@ -104,9 +106,13 @@ def signatures() -> list[Signature]:
         depth = max(len(label.split("-")), 1) if label.startswith("cc-") else 1
         out.append(Signature(label, "spdx license identifier", f" spdx license identifier {label.replace('-', ' ')}(?= )", 40 + depth, 1.0))
         for name in names:
-            out.append(Signature(label, name, rf" (?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?= )", 30 + depth, 1.0))
-            out += [Signature(label, name, rf" {name} (?:version )?v?{v}(?= )", 20 + depth, 0.9) for v in versions]
-            out.append(Signature(label, name, f" {name}(?= )", 10 + depth, 0.6))
+            short = name.split()[-1] in SHORT
+            granted = rf"{name}v?\d?" if short else name
+            whole = rf"{name}(?:v\d?)?" if short else name
+            dated = rf"{name} ?(?:version )?v? ?" if short else rf"{name} (?:version )?v?"
+            out.append(Signature(label, name, rf" (?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of the )?{granted}(?= )", 30 + depth, 1.0))
+            out += [Signature(label, name, rf" {dated}{v}(?= )", 20 + depth, 0.9) for v in versions]
+            out.append(Signature(label, name, f" {whole}(?= )", 10 + depth, 0.6))
     return out
 
 
