@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +81,42 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Workspace:
+    """Settled tables of one run of an operator; ``close`` removes those that are left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        return self.keep(settle(df, label))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Takes over a table that is settled already."""
+        self.tables.append(df)
+        return df
+
+    def close(self) -> None:
+        for df in self.tables:
+            drop_settled(df)
+        self.tables.clear()
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """A workspace whose tables go when the block ends; what outlives it must be settled outside of it."""
+    work = Workspace(spark)
+    try:
+        yield work
+    finally:
+        work.close()
+
+
+def free_unused(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and broadcasts that nothing names any more; it follows garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each step hangs a node's larger neighbours on its smallest one (large star), then its smaller neighbours (small star),
     until nothing changes; long chains take a logarithmic number of steps. A node with very many links is
     one row in the table of smallest neighbours; the links themselves are joined to it by sort-merge joins that adaptive
-    execution may split. Links to itself, repeated links and null ends count for nothing.
+    execution may split. Links to itself, repeated links and null ends count for nothing. The table returned is settled.
     """
     plain = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
     edges = settle(plain.where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct(), "links")
@@ -48,6 +48,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.select("node", F.col("other").alias("component")).union(
+    out = edges.select("node", F.col("other").alias("component")).union(
         edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
     )
+    done = settle(out, "components")
+    drop_settled(edges)
+    return done

@@ -33,13 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_settled, settle, shuffle_width, table
+from ._common import drop_settled, free_unused, settle, shuffle_width, table, workspace
 from .components import connected_components
 
 #: Words of a shingle; the similarity asked for, as a fraction.
 SHINGLE, NEED = 5, (4, 5)
-#: Segments of each document under each of two partitions in the second step; components that share a segment's value from which on it counts as common.
-FIRST_SEGMENTS, COMMON = 6, 12
+#: Segments of each document under each of two partitions in the second step.
+FIRST_SEGMENTS = 6
+#: Components, or documents of several components, that share a segment's value beyond which it counts as common.
+COMMON, COMMON_DOCS = 12, 64
 #: Chance, for the cost model, that a shingle of one document is in an unrelated one.
 SHARED = 0.001
 #: Rows that cost as much as one comparison of two texts.
@@ -48,8 +50,9 @@ PAIR_COST = 50
 WIDE = 3
 #: Sets of fewer shingles are linked with equal ones only.
 LEAST = 4
-SKETCH_WORDS = 32
-#: Bits of the filter of ids that keeps most texts out of a shuffle; fixed, so it may be sent along with the plan.
+#: 64-bit words of the parity sketch, and of its fold, which is compared first.
+SKETCH_WORDS, FOLD_WORDS = 32, 8
+#: Bits of the filter of ids that keeps most texts out of a shuffle; fixed, whatever the number of ids.
 FILTER_BITS = 1 << 20
 #: Documents of one packed block; buckets per shuffle partition.
 BLOCK_DOCS, BUCKETS_EACH = 4000, 4
@@ -183,13 +186,15 @@ def segment_values(hashes: np.ndarray, band: int, given: Allocation) -> tuple[np
     return values, empty
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
+def _sketch(hashes: np.ndarray) -> list[int]:
+    """Parities of the shingles by their low bits, behind their fold: either way a shingle turns one bit."""
     bits = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+    words = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+    return [*np.bitwise_xor.reduce(words.reshape(-1, FOLD_WORDS)).tolist(), *words.tolist()]
 
 
-_SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
-_CLASS_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("first", pa.list_(pa.int64()))] + [(s, pa.int64()) for s in _SKETCH])
+_CLASS = "id bigint, n bigint, digest binary, first array<bigint>, sketch array<bigint>"
+_CLASS_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("first", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def _describe(batches):
@@ -200,7 +205,7 @@ def _describe(batches):
             rows = []
             for doc_id, h in zip(part["id"].to_pylist(), shingle_sets(part["text"].to_pylist()), strict=True):
                 first = _first_values(h).view(np.int64).tolist()
-                rows.append((doc_id, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first, *_sketch(h).tolist()))
+                rows.append((doc_id, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first, _sketch(h)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CLASS_SCHEMA, strict=True)], schema=_CLASS_SCHEMA)
 
 
@@ -216,14 +221,18 @@ def _first_values(h: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _id_filter(ids: DataFrame, id_col: str):
-    """A condition that holds for all the ids, and for few others while they are fewer than the filter's bits."""
+def _id_filter(ids: DataFrame, id_col: str, work):
+    """A condition that holds for all the ids, and for few others while they are fewer than the filter's bits.
+
+    The filter is a table of one row that plans name as a scalar subquery; as a literal it would be part of every plan's text.
+    """
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
     bytes_ = ids.select(F.shiftright(place, 3).cast("int").alias("at"), F.pmod(place, F.lit(8)).cast("int").alias("bit"))
     found = bytes_.groupBy("at").agg(F.expr("bit_or(shiftleft(1, bit))").cast("int").alias("bits")).toArrow()
     held = np.zeros(FILTER_BITS // 8, np.uint8)
     held[found["at"].to_numpy()] = found["bits"].to_numpy()
-    sent = F.lit(bytearray(held.tobytes()))
+    row = ids.sparkSession.createDataFrame(pa.table({"held": pa.array([held.tobytes()], pa.binary())}))
+    sent = work.settle(row.coalesce(1), "id-filter").scalar()
 
     def condition(col):
         p = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
@@ -234,16 +243,18 @@ def _id_filter(ids: DataFrame, id_col: str):
 
 
 def _fits():
-    """Sizes (na, nb) and sketches (a.., b..) that a linked pair may have: each shingle that differs turns one bit of the sketch."""
-    differ = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    return (NEED[1] * F.least("na", "nb") >= NEED[0] * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
+    """Sizes (na, nb) and sketches (sa, sb) that a linked pair may have: each shingle that differs turns one bit of the sketch."""
+    turned = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    fold = sum((turned(F.col("sa")[k], F.col("sb")[k]) for k in range(1, FOLD_WORDS)), turned(F.col("sa")[0], F.col("sb")[0]))
+    whole = F.aggregate(F.zip_with("sa", "sb", turned), -fold, lambda total, x: total + x)  # the fold's words come first
+    limit = F.col("na") + F.col("nb")
+    return (NEED[1] * F.least("na", "nb") >= NEED[0] * F.greatest("na", "nb")) & (9 * fold <= limit) & (9 * whole <= limit)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and sketches allow to be linked."""
-    lean = classes.select("id", "n", *_SKETCH)
-    left = lean.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in _SKETCH])
-    right = lean.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in _SKETCH])
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(_fits()).select("a", "b")
 
 
@@ -263,15 +274,16 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, work) -> DataFrame:
     """Those of the distinct pairs (a, b) whose texts are linked. Only texts of the pairs are moved."""
     ids = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-    near = texts.where(_id_filter(ids, "need")(F.col("id")))
+    near = texts.where(_id_filter(ids, "need", work)(F.col("id")))
     wanted = settle(near.join(ids.hint("merge"), F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]), "texts")
     second = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    out = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint"), "linked")
+    out = work.settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint"), "linked")
     drop_settled(wanted)
+    free_unused(texts.sparkSession)
     return out
 
 
@@ -357,7 +369,7 @@ _FOUND = "value bigint, a bigint, b bigint, flags int, credits bigint, label big
 
 
 def _meet(batches):
-    """Within each value: pairs (a, b) of different components, or, if those are many, its documents (a, null).
+    """Within each value: pairs (a, b) of different components, or, if those or their documents are many, its documents (a, null).
 
     Of the pairs, sizes must fit and one document at least must be of the value's own band. They come with the credits of the
     bucket's values at which they meet, and in ``flags`` with those that common values may cost.
@@ -391,18 +403,19 @@ def _meet(batches):
         firsts = np.flatnonzero(start)
         ends = np.concatenate([firsts[1:], [len(values)]])
         out_a, out_b, out_f = [], [], []
-        for r in np.flatnonzero((kinds > 1) & (kinds <= COMMON)).tolist():
+        shared = (kinds > COMMON) | ((kinds > 1) & (ends - firsts > COMMON_DOCS))
+        for r in np.flatnonzero((kinds > 1) & ~shared).tolist():
             s = slice(firsts[r], ends[r])
             d, c, n, f = docs[s], labels[s], sizes[s], flags[s] & 1
             kind = int(flags[s.start]) & ~1
-            for at in range(len(d) - 1):  # one document against those behind it, whatever their number
+            for at in range(len(d) - 1):
                 fit = (c[at + 1 :] != c[at]) & (NEED[1] * np.minimum(n[at + 1 :], n[at]) >= NEED[0] * np.maximum(n[at + 1 :], n[at])) & ((f[at + 1 :] & f[at]) == 0)
                 if fit.any():
                     found = d[at + 1 :][fit]
                     out_a.append(np.minimum(found, d[at]))
                     out_b.append(np.maximum(found, d[at]))
                     out_f.append(np.full(len(found), kind, np.int64))
-        common = (kinds > COMMON)[run]
+        common = shared[run]
         one, two, kind = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b, out_f))
         order = np.lexsort((two, one))
         one, two, kind = one[order], two[order], kind[order]
@@ -439,22 +452,34 @@ def _common_credits(common: DataFrame) -> DataFrame:
     return common.groupBy(F.col("a").alias("doc")).agg(credits.alias("credits"), F.min(F.shiftright("flags", 2)).alias("allowed"))
 
 
-def _common_pairs(common: DataFrame, lost: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs by values that many components share, of documents with more of these than they may leave out.
+def _sides(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    left = asking.select("value", F.col("a").alias("x"), F.col("flags").alias("fx"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = asking.select("value", F.col("a").alias("y"), F.col("flags").alias("fy"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return left, right
+
+
+def _common_pairs(asking: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that values of many documents leave over, of documents that have more of these than they may leave out.
 
     A linked pair that met by such values only has, on either side, more of them than that. Sizes and sketches are part of the join's
     condition, so pairs that cannot be linked are never made.
     """
-    lots = lost.where("credits > allowed").select(F.col("doc").alias("a"))
-    asking = common.join(lots, "a", "left_semi").join(heads.select(F.col("id").alias("a"), "n", *_SKETCH), "a")
-    left = asking.select("value", F.col("a").alias("x"), F.col("flags").alias("fx"), F.col("label").alias("lx"), F.col("n").alias("na"), *[F.col(k).alias(f"a{k}") for k in _SKETCH])
-    right = asking.select("value", F.col("a").alias("y"), F.col("flags").alias("fy"), F.col("label").alias("ly"), F.col("n").alias("nb"), *[F.col(k).alias(f"b{k}") for k in _SKETCH])
+    left, right = _sides(asking)
     apart = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (F.col("fx").bitwiseAND(F.col("fy")).bitwiseAND(1) == 0)
     met = left.join(right, "value").where(apart & _fits())
     pairs = met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum(1 + F.shiftright(F.col("fx").bitwiseAND(2), 1)).alias("credits"), F.min(F.shiftright("fx", 2)).alias("allowed"))
     return pairs.where("credits > allowed").select("a", "b")
 
 
+def _first_of_labels(asking: DataFrame) -> DataFrame:
+    """Pairs (a, b) to try first: of any two labels that share a value, one document each."""
+    own = asking.groupBy("value", "label").agg(F.min_by(F.struct(*[c for c in asking.columns if c not in ("value", "label")]), "a").alias("r"))
+    left, right = _sides(own.select("value", "label", "r.*"))
+    apart = (F.col("lx") < F.col("ly")) & (F.col("fx").bitwiseAND(F.col("fy")).bitwiseAND(1) == 0)
+    met = left.join(right, "value").where(apart & _fits()).groupBy("lx", "ly").agg(F.min(F.struct("x", "y")).alias("p"))
+    return met.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+
+
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession):
     """Texts of pairs are wide rows; batches of a few MB bound what a Python worker holds."""
@@ -478,8 +503,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have one text; repeated rows each come back. Rows with a null id are told apart by their row and come back with a null
     id and component: they join nothing. Extra columns are ignored.
     """
-    with _small_batches(docs.sparkSession):
-        return _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
+        return settle(_components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work), "jaccard")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -488,33 +513,31 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Sets, classes and nulls are those of ``jaccard_components``; documents of one class are linked with each other and, all alike, with
     the classes that theirs is linked with. No component stands in for a link: all candidates are compared.
     """
-    with _small_batches(docs.sparkSession):
+    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        _, _, member, heads = _classes(source)
-        copies = member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label"))
-        return _cross_links(source, heads, settle(copies, "copies"))
+        _, _, member, heads = _classes(source, work)
+        return settle(_all_links(source, member, heads, work), "links")
 
 
 def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links) for every row: the number of other classes that the row's class is linked with."""
-    with _small_batches(docs.sparkSession):
+    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        classes, least, member, heads = _classes(source)
-        copies = member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label"))
-        links = _cross_links(source, heads, settle(copies, "copies"))
+        classes, least, member, heads = _classes(source, work)
+        links = _all_links(source, member, heads, work)
         ends = links.select(F.col("a").alias("node")).unionAll(links.select("b"))
         counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
         out = _own_class(classes, least).join(counts.hint("merge"), F.col("class_id") == F.col("node"), "left")
-        return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        return settle(out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "link-counts")
 
 
-def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _classes(source: DataFrame, work) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sets of all rows, smallest id by digest, class of every id with a set, and the sets of the classes' smallest ids."""
-    classes = settle(source.mapInArrow(_describe, ", ".join(["id bigint, n bigint, digest binary, first array<bigint>", *[f"{s} bigint" for s in _SKETCH]])), "sets")
+    classes = work.settle(source.mapInArrow(_describe, _CLASS), "sets")
     sets = classes.where("n > 0 AND id IS NOT NULL")
-    least = settle(sets.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
+    least = work.settle(sets.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     member = sets.join(least.hint("merge"), "digest").select("id", "class_id")
-    heads = settle(sets.join(least.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "heads")
+    heads = work.settle(sets.join(least.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "heads")
     return classes, least, member, heads
 
 
@@ -523,31 +546,37 @@ def _own_class(classes: DataFrame, least: DataFrame) -> DataFrame:
     return out.join(least.hint("merge"), F.col("own") == F.col("digest"), "left")
 
 
-def _components(source: DataFrame) -> DataFrame:
-    classes, least, member, heads = _classes(source)
+def _all_links(source: DataFrame, member: DataFrame, heads: DataFrame, work) -> DataFrame:
+    copies = member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label"))
+    return _cross_links(source, heads, work.settle(copies, "copies"), work)
+
+
+def _components(source: DataFrame, work) -> DataFrame:
+    classes, least, member, heads = _classes(source, work)
     filed = heads.where(F.col("n") >= LEAST).select("id", F.explode("first").alias("value"))
     shared = filed.groupBy("value").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("value", "a")
-    stars = filed.join(settle(shared, "shared").hint("merge"), "value").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = _verified(settle(_possible(stars, heads), "star-pairs"), source)
-    labels = settle(connected_components(links), "labels")
-    moved = settle(
+    stars = filed.join(work.settle(shared, "shared").hint("merge"), "value").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = _verified(work.settle(_possible(stars, heads), "star-pairs"), source, work)
+    labels = work.keep(connected_components(links))
+    moved = work.settle(
         member.where("id <> class_id").select("id", F.lit(None).cast("long").alias("label")).union(
             labels.where("node <> component").select("node", "component").join(heads.select("id"), F.col("node") == F.col("id"), "left_semi")
         ),
         "moved",
     )
-    more = _cross_links(source, heads, moved)
-    final = settle(connected_components(links.union(more)), "components")
+    more = _cross_links(source, heads, moved, work, joined=links)
+    final = work.keep(connected_components(links.union(more)))
     out = _own_class(classes, least).join(final.hint("merge"), F.col("class_id") == F.col("node"), "left")
     return out.select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")
     )
 
 
-def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame) -> DataFrame:
+def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame, work, joined: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of the classes' smallest ids whose labels differ.
 
-    A document's label is its own id unless ``moved`` has another; those with a null label there are left out.
+    A document's label is its own id unless ``moved`` has another; those with a null label there are left out. With ``joined``, the
+    links behind the labels, links that these and the ones found imply are left out.
     """
     spark = source.sparkSession
     stats = heads.where(F.col("n") >= LEAST).groupBy("n").agg(F.count(F.lit(1)).alias("docs"))
@@ -557,7 +586,7 @@ def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame) -> DataF
     band_docs = {r["band"]: r["docs"] for r in stats.groupBy(F.size(F.filter(edges, lambda h: h < F.col("n"))).alias("band")).agg(F.sum("docs").alias("docs")).collect()}
     given = {b: allocate(plan[b][1], band_docs.get(b, 0) + band_docs.get(b + 1, 0)) for b in range(len(plan)) if band_docs.get(b)}
 
-    is_moved = _id_filter(moved.select("id"), "id")
+    is_moved = _id_filter(moved.select("id"), "id", work)
     once = source.where("id IS NOT NULL")
     still = once.where(~is_moved(F.col("id"))).withColumn("label", F.col("id"))
     check = moved.select(F.col("id").alias("own"), "label", F.lit(True).alias("known"))
@@ -566,15 +595,32 @@ def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame) -> DataF
     buckets = BUCKETS_EACH * shuffle_width(spark)
     blocks = placed.mapInArrow(_file_segments(plan, given, buckets), _BLOCK)
     dealt = blocks.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
-    found = settle(dealt.mapInArrow(_meet, _FOUND), "met")
+    found = work.settle(dealt.mapInArrow(_meet, _FOUND), "met")
+    free_unused(spark)
     met = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("credits").alias("credits"), F.min("flags").alias("allowed"))
     common = found.where("b IS NULL")
-    lost = settle(_common_credits(common), "lost")
+    lost = work.settle(_common_credits(common), "lost")
     often = met.join(lost.select(F.col("doc").alias("a"), F.col("credits").alias("la")), "a", "left")
     often = often.join(lost.select(F.col("doc").alias("b"), F.col("credits").alias("lb")), "b", "left")
-    often = often.where(F.col("credits") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) > F.col("allowed"))
-    pairs = often.select("a", "b").union(_common_pairs(common, lost, heads)).distinct()
-    return _verified(settle(_possible(pairs, heads), "cross-pairs"), source)
+    often = often.where(F.col("credits") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) > F.col("allowed")).select("a", "b")
+    lots = lost.where("credits > allowed").select(F.col("doc").alias("a"))
+    asking = work.settle(common.join(lots, "a", "left_semi").join(heads.select(F.col("id").alias("a"), "n", "sketch"), "a"), "asking")
+    early = None
+    if joined is not None and asking.where("label <> a").limit(1).count():
+        early = _verified(work.settle(_possible(often.union(_first_of_labels(asking)).distinct(), heads), "first-pairs"), source, work)
+        asking = _relabelled(asking, joined.union(early), work)
+        often = None
+    last = _common_pairs(asking)
+    last = last if often is None else often.union(last).distinct()
+    links = _verified(work.settle(_possible(last, heads), "cross-pairs"), source, work)
+    return links if early is None else work.settle(links.union(early).distinct(), "cross-links")
+
+
+def _relabelled(asking: DataFrame, links: DataFrame, work) -> DataFrame:
+    """``asking`` with the components of the links found so far as labels."""
+    now = work.keep(connected_components(links))
+    out = asking.join(now.hint("merge"), F.col("a") == F.col("node"), "left")
+    return work.settle(out.withColumn("label", F.coalesce("component", "a")).drop("node", "component"), "asking-now")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
