@@ -48,7 +48,7 @@ def test_small_chunks_and_buckets_agree(spark, monkeypatch):
     two = {r["id"]: r for r in pitman_yor.score_texts(docs, buckets=3).collect()}
     for i, r in one.items():
         assert r["n_known"] == two[i]["n_known"] and math.isclose(r["base_score"], two[i]["base_score"], rel_tol=1e-9)
-        assert math.isclose(r["score"], two[i]["score"], rel_tol=1e-5)
+        assert math.isclose(r["score"], two[i]["score"], rel_tol=1e-3)
 
 
 def test_nothing_to_learn(spark, tmp_path):
@@ -63,43 +63,136 @@ def test_nothing_to_learn(spark, tmp_path):
 
 def test_seating_follows_the_process():
     rng, plain = np.random.default_rng(5), random.Random(5)
-    n, weight, d = 60, 2.5, 0.6
-    many = pitman_yor.seat(np.full(4000, n), np.full(4000, weight), d, rng)
+    d = 0.6
+    for n, start, more in ((60, 2.5, 0.0), (60, 0.05, 0.5), (7, 1.0, 1.0), (3000, 0.3, 0.1)):
+        many = pitman_yor.seat(np.full(3000, n), lambda dishes, t: start + more * t, d, rng)  # noqa: B023
 
-    def one():
-        t = 1
-        for k in range(1, n):
-            t += plain.random() < weight / (weight + k - d * t)
-        return t
+        def one():
+            t = 1
+            for k in range(1, n):  # noqa: B023
+                w = start + more * t  # noqa: B023
+                t += plain.random() < w / (w + k - d * t)
+            return t
 
-    slow = [one() for _ in range(4000)]
-    assert abs(many.mean() - np.mean(slow)) < 0.25 and abs(many.std() - np.std(slow)) < 0.35
-    assert (pitman_yor.seat(np.array([0, 1, 2]), np.ones(3), d, rng) <= [0, 1, 2]).all()
+        slow = [one() for _ in range(1000)]
+        assert abs(many.mean() - np.mean(slow)) < 5 * np.std(slow) / 1000**0.5 + 0.01
+        assert abs(many.std() - np.std(slow)) < 0.15 * np.std(slow) + 0.05
+    assert (pitman_yor.seat(np.array([0, 1, 2]), lambda dishes, t: np.ones(len(dishes)), d, rng) <= [0, 1, 2]).all()
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(1, 1 << 60, 50).astype(np.uint64))
-    pairs = np.full(50, 3)
-    contexts = np.tile([0, 5, 9], 50)
     counts = rng.integers(0, 30, 150)
-    row = {"bucket": 0, "words": pitman_yor._pack(hashes, "<u8"), "pairs": pitman_yor._pack(pairs, "<u4"), "contexts": pitman_yor._pack(contexts, "<u2"), "counts": pitman_yor._pack(counts, "<u8")}
+    row = {
+        "bucket": 0, "words": pitman_yor._pack_rising(hashes), "heads": pitman_yor._pack_rising(np.array([5, 9, 70])), "keys": pitman_yor._pack_rising(np.arange(150)),
+        "counts": pitman_yor._pack(counts, "<u8"),
+    }
     s = pitman_yor._Seats(row)
-    given = {"customers": np.zeros(4096), "tables": np.full(4096, 40.0), "tables0": 45, "customers0": 300, "kinds": 51, "d0": 0.6, "d1": 0.7}
-    seats = s.sample(given, 1)
-    after = dict(given)
-    own = s.context > 0
-    after["customers"] = np.bincount(s.context[own], weights=s.count[own], minlength=4096)
-    after["tables"] = np.bincount(s.context[own], weights=seats[0][own], minlength=4096)
-    after["customers0"], after["tables0"] = seats[1].sum(), seats[2].sum()
-    p = s.predict(seats, after)
-    unseen = (1 + after["d0"] * after["tables0"]) / 51 / (1 + after["customers0"])
-    assert abs(p[s.context == 0].sum() + unseen - 1) < 1e-9
-    for c in (5, 9):
-        back = (1 + after["d1"] * after["tables"][c]) / (1 + after["customers"][c])
+    add = lambda x: np.bincount(s.context, weights=x, minlength=3)
+    state = s.first()
+    for sweep in range(3):
+        g = {"tables0": int(state[1].sum()), "customers0": int(state[0].sum()), "kinds": 51.0, "d0": 0.6, "d1": 0.7}
+        state = s.sweep(state, g, add(state[0]), [sweep])
+        assert ((state[0] <= counts) & ((state[0] > 0) == (counts > 0))).all() and (state[1] <= s.sums(state[0])).all()
+    g |= {"tables0": int(state[1].sum()), "customers0": int(state[0].sum())}
+    p = s.predict(state, g, add(s.count), add(state[0]))
+    unseen = (1 + g["d0"] * g["tables0"]) / 51 / (1 + g["customers0"])
+    for c in range(3):
+        back = (1 + g["d1"] * add(state[0])[c]) / (1 + add(s.count)[c])
         assert abs(p[s.context == c].sum() + back * unseen - 1) < 1e-9
 
 
+class PlainModel:
+    """The same hierarchy in plain Python: every customer leaves and sits down again on its own."""
+
+    def __init__(self, texts, seed):
+        self.rng = random.Random(seed)
+        pairs = Counter((a, b) for t in texts for a, b in zip([None, *t], t))
+        self.kinds = len({b for _, b in pairs}) + 1
+        self.customers = [(u, w) for (u, w), n in pairs.items() for _ in range(n)]
+        self.n, self.t = Counter(), Counter()
+        for u, w in self.customers:
+            self.n[u] += 1
+        self.own = {key: [n] for key, n in pairs.items()}
+        self.top = {}
+        for (u, w), n in pairs.items():
+            self.t[u] += 1
+            self.top.setdefault(w, [0])[0] += 1
+        self.d1 = self.discount(pairs.values())
+
+    @staticmethod
+    def discount(counts):
+        once, twice = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+    def parent(self, w):
+        sizes = self.top.get(w, [])
+        base = (1 + self.d0 * sum(map(len, self.top.values()))) / self.kinds
+        return (sum(sizes) - self.d0 * len(sizes) + base) / (1 + sum(map(sum, self.top.values())))
+
+    def sit(self, sizes, weight, d):
+        at = self.rng.random() * (sum(sizes) - d * len(sizes) + weight)
+        for k, n in enumerate(sizes):
+            at -= n - d
+            if at < 0:
+                sizes[k] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(self, sizes):
+        k = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def sweep(self):
+        self.d0 = self.discount([sum(s) for s in self.top.values()])
+        for u, w in self.customers:
+            if self.leave(self.own[u, w]):
+                self.t[u] -= 1
+                self.leave(self.top[w])
+            if self.sit(self.own[u, w], (1 + self.d1 * self.t[u]) * self.parent(w), self.d1):
+                self.t[u] += 1
+                tables = sum(map(len, self.top.values()))
+                self.sit(self.top[w], (1 + self.d0 * tables) / self.kinds, self.d0)
+
+    def probability(self, u, w):
+        sizes = self.own.get((u, w), [])
+        return (sum(sizes) - self.d1 * len(sizes) + (1 + self.d1 * self.t[u]) * self.parent(w)) / (1 + self.n[u])
+
+
+def test_scores_against_plain_gibbs(spark):
+    """Dishes that leave and sit down together come to the same scores as customers that do so one by one."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    text = lambda: " ".join(words[min(int(rng.expovariate(0.15)) + 3 * (k % 3), 39)] for k in range(rng.randrange(3, 30)))
+    rows = [(k, text()) for k in range(120)] + [(500, "never seen"), (501, None)]
+    held = [r for r in rows if is_held(r[0]) or r[0] >= 500]
+    split = lambda t: [*(t or "").split(), None]
+    model = PlainModel([split(t) for i, t in rows if not (is_held(i) or i >= 500)], 1)
+    sums = {i: [0.0] * len(split(t)) for i, t in held}
+    for sweep in range(14):
+        model.sweep()
+        if sweep >= 4:
+            for i, t in held:
+                own = split(t)
+                for k, (a, b) in enumerate(zip([None, *own], own)):
+                    sums[i][k] += model.probability(a, b) / 10
+    want = {i: sum(map(math.log10, p)) for i, p in sums.items()}
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    where = pitman_yor.held_out(F.col("doc_id")) | (F.col("doc_id") >= 500)
+    got = {r["id"]: r["score"] for r in pitman_yor.score_texts(docs, where, buckets=3).collect()}
+    for i, value in want.items():
+        assert abs(got[i] - value) < 0.05 * abs(value) + 0.05, (i, got[i], value)
+    assert abs(sum(got[i] for i in want) / sum(want.values()) - 1) < 0.01
+
+
 def test_every_word_is_a_context(spark):
     """Which word follows is learnt after long words and other scripts too, and contexts beyond a few thousand stay apart."""
     from pyspark.sql import functions as F

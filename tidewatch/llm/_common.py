@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -117,6 +118,19 @@ def free_unused(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed(run):
+    """A function for ``mapInArrow`` whose worker gives freed memory back in the end, as later stages use the same processes."""
+
+    def and_trim(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return and_trim
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,17 +6,18 @@ customers of the parent.
 
 Nothing of the vocabulary's size is held in one place. Texts are cut into chunks; a chunk sends the distinct (word,
 context) pairs of its texts, with their training counts, to buckets of the words' hash. A bucket adds the counts up,
-samples the seating of its words, and answers each chunk with a probability for each pair it asked about. A context's
+keeps the seating of its words, and answers each chunk with a probability for each pair it asked about. A context's
 words lie in many buckets: after each Gibbs sweep every bucket reports its contexts' tables to their homes, ranges of the
-contexts' hash, which add them up and answer with the totals. Only sums over all restaurants pass through the driver.
+contexts' hash, which add them up and answer with the totals. Only sums over all restaurants pass through the driver. Buckets and
+homes are numbered by the texts' bytes, so what a task holds at a time does not grow with them.
 
-A sweep seats every restaurant anew by the Chinese restaurant process, given the totals and parents' probabilities of the
-sweep before; the predictive probabilities of the sweeps after the first are averaged.
+A sweep takes each dish of each restaurant in turn: its customers leave, with their tables and what those sent to the parent, and sit
+down again one after the other by the Chinese restaurant process. How many sit down before the next table opens is drawn at once,
+exactly. Dishes see each other's tables as they stood before the sweep. The predictive probabilities of the sweeps after the first are averaged.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -27,52 +28,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ._common import drop_settled, remove, scratch, settle, shuffle_width, table
+from ._common import drop_settled, free_unused, remove, scratch, settle, shuffle_width, table, trimmed
 
-#: Words of a chunk, about; buckets per shuffle partition.
-CHUNK_WORDS, BUCKETS_EACH = 4_000_000, 4
+#: Words of a chunk, about; bytes of text for each bucket; buckets of a task, and buckets to each home of contexts.
+CHUNK_WORDS, BUCKET_BYTES, TASK_BUCKETS, HOME_BUCKETS = 4_000_000, 8 << 20, 4, 8
 #: Gibbs sweeps, of which the first ones are not averaged.
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
+#: Log probabilities are sent to the chunks in steps of one part in so many.
+LOG_STEPS = 2048
+#: Bits of a context's hash that tell it apart; words are told apart by all 64.
+CONTEXT_MASK = np.uint64((1 << 64) - (1 << 12))
 END = b" "  # no word holds a space
-_PARTS = "chunk bigint, bucket int, words binary, pairs binary, heads binary, contexts binary, counts binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
 
 
 def _pack(values, dtype: str) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values, dtype=dtype).tobytes(), 1)
+    """Numbers as compressed planes of bytes: the empty high bytes of small numbers cost nothing."""
+    plain = np.ascontiguousarray(values, dtype=dtype)
+    return zstandard.compress(np.ascontiguousarray(plain.view(np.uint8).reshape(-1, plain.itemsize).T).tobytes(), 1)
 
 
 def _unpack(raw: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), dtype=dtype)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
-def _pack_places(places: np.ndarray) -> bytes:
-    """Small numbers, in two bytes each if that holds them."""
-    return _pack(places, "<u2" if not len(places) or places.max() < 1 << 16 else "<u4")
+def _pack_rising(values: np.ndarray) -> bytes:
+    """Numbers in ascending order, by their differences."""
+    values = np.asarray(values).astype(np.uint64)
+    return _pack(np.diff(values, prepend=np.uint64(0)), "<u8")
 
 
-def _unpack_places(raw: bytes, n: int) -> np.ndarray:
-    plain = zstandard.decompress(raw)
-    return np.frombuffer(plain, dtype="<u2" if len(plain) == 2 * n else "<u4").astype(np.int64)
+def _unpack_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, "<u8"), dtype=np.uint64)
 
 
-def _pack_hashes(ordered: np.ndarray) -> bytes:
-    return _pack(np.diff(ordered, prepend=np.uint64(0)), "<u8")
+def _places(raw: bytes) -> np.ndarray:
+    return _unpack_rising(raw).astype(np.int64)
 
 
-def _unpack_hashes(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw, "<u8"), dtype=np.uint64)
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(n, pa.list_(kinds[t[6:-1]]) if t.startswith("array") else kinds[t]) for n, t in (part.split() for part in ddl.split(", "))])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_PART_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("bucket", pa.int32())]
-    + [(n, pa.binary()) for n in ("words", "pairs", "heads", "contexts", "counts", "lengths", "places")]
-    + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-)
+_PARTS = "chunk bigint, bucket int, words binary, heads binary, keys binary, counts binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
+_PART_SCHEMA = _schema(_PARTS)
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
@@ -105,28 +110,27 @@ class _Chunk:
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        tokens, lengths = np.concatenate(self.tokens), np.array(self.lengths)
+        tokens, lengths = rank[np.concatenate(self.tokens)], np.array(self.lengths)
+        self.tokens, self.local = [], {}
         before = np.empty(len(tokens), np.int64)
-        before[1:] = rank[tokens[:-1]]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        before[starts] = rank[0]
-        keys, places = np.unique(rank[tokens] * len(names) + before, return_inverse=True)
+        before[1:] = tokens[:-1]
+        before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = rank[0]
+        keys, places = np.unique(tokens * len(names) + before, return_inverse=True)
         learnt = np.repeat(~np.array(self.held, bool), lengths)
         counts = np.bincount(places[learnt], minlength=len(keys))
+        del tokens, before, learnt
         sorted_hashes = hashes[order]
         word_cuts = np.searchsorted(sorted_hashes, bucket_edges(buckets), side="right")
         pair_cuts = np.searchsorted(keys, word_cuts * len(names))
         chunk, out, w0, p0 = uuid.uuid4().int >> 65, [], 0, 0
-        per_word = np.bincount(keys // len(names), minlength=len(names))
+        out.append((chunk, -1, None, None, None, None, _pack(lengths, "<u4"), _pack(places, "<u4"), self.ids, self.held))
         for bucket, (w1, p1) in enumerate(zip(word_cuts.tolist(), pair_cuts.tolist(), strict=True)):
             if w1 > w0:
-                heads, local = np.unique(keys[p0:p1] % len(names), return_inverse=True)
-                out.append(
-                    (chunk, bucket, _pack_hashes(sorted_hashes[w0:w1]), _pack(per_word[w0:w1], "<u4"), _pack_hashes(sorted_hashes[heads]),
-                     _pack_places(local), _pack(counts[p0:p1], "<u4"), None, None, None, None)
-                )
+                own = keys[p0:p1]
+                heads, local = np.unique(sorted_hashes[own % len(names)] & CONTEXT_MASK, return_inverse=True)
+                packed = _pack_rising((own // len(names) - w0) * len(heads) + local)
+                out.append((chunk, bucket, _pack_rising(sorted_hashes[w0:w1]), _pack_rising(heads), packed, _pack(counts[p0:p1], "<u4"), None, None, None, None))
             w0, p0 = w1, p1
-        out.append((chunk, -1, None, None, None, None, None, _pack(lengths, "<u4"), _pack(places, "<u4"), self.ids, self.held))
         return out
 
 
@@ -142,7 +146,7 @@ def _chunks(buckets: int):
         if chunk.ids:
             yield _rows(chunk.rows(buckets), _PART_SCHEMA)
 
-    return run
+    return trimmed(run)
 
 
 def _by(key: str, batches):
@@ -159,114 +163,111 @@ def _by(key: str, batches):
         yield last, rows
 
 
-_BUCKET = "bucket int, words binary, pairs binary, heads binary, contexts binary, counts binary, asked array<struct<chunk:bigint,places:binary>>"
+_BUCKET = "bucket int, words binary, heads binary, keys binary, counts binary, asked array<struct<chunk:bigint,places:binary>>"
+_ASKED = pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))
 
 
 def _add_up(batches):
     """A bucket's words and pairs with their counts, and for each chunk the places of the pairs it asked about."""
     for bucket, rows in _by("bucket", batches):
-        words, contexts, counts, sizes = [], [], [], []
-        own = [_unpack_hashes(r["heads"]) for r in rows]
-        heads = np.unique(np.concatenate(own))
-        for r, h in zip(rows, own, strict=True):
-            per_word = _unpack(r["pairs"], "<u4")
-            words.append(np.repeat(_unpack_hashes(r["words"]), per_word))
-            contexts.append(np.searchsorted(heads, h)[_unpack_places(r["contexts"], int(per_word.sum()))] + 1)
-            counts.append(_unpack(r["counts"], "<u4").astype(np.int64))
-            sizes.append(len(contexts[-1]))
-        names, at = np.unique(np.concatenate(words), return_inverse=True)
-        width = len(heads) + 1
-        keys, places = np.unique(at * width + np.concatenate(contexts), return_inverse=True)
-        total = np.bincount(places, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
-        cuts = np.cumsum([0, *sizes])
-        asked = [{"chunk": r["chunk"], "places": _pack(places[a:b], "<u4")} for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([bucket], pa.int32()),
-                pa.array([_pack(names, "<u8")], pa.binary()),
-                pa.array([_pack(np.bincount(keys // width, minlength=len(names)), "<u4")], pa.binary()),
-                pa.array([_pack_hashes(heads)], pa.binary()),
-                pa.array([_pack_places(keys % width)], pa.binary()),
-                pa.array([_pack(total, "<u8")], pa.binary()),
-                pa.array([asked], pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))),
-            ],
-            names=["bucket", "words", "pairs", "heads", "contexts", "counts", "asked"],
-        )
-
-
-def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng) -> np.ndarray:
+        names = np.unique(np.concatenate([_unpack_rising(r["words"]) for r in rows]))
+        heads = np.unique(np.concatenate([_unpack_rising(r["heads"]) for r in rows]))
+        keys = []
+        for r in rows:
+            word, head = np.searchsorted(names, _unpack_rising(r["words"])), np.searchsorted(heads, _unpack_rising(r["heads"]))
+            own = _places(r["keys"])
+            keys.append(word[own // len(head)] * len(heads) + head[own % len(head)])
+        known = np.unique(np.concatenate(keys))
+        total, asked = np.zeros(len(known), np.int64), []
+        for k, r in enumerate(rows):
+            # a chunk's contexts whose hashes agree in the bits kept are one key there too, so its keys are in ascending order
+            at = np.searchsorted(known, keys[k])
+            np.add.at(total, at, _unpack(r["counts"], "<u4").astype(np.int64))
+            asked.append({"chunk": r["chunk"], "places": _pack_rising(at)})
+            keys[k] = None
+        columns = [
+            pa.array([bucket], pa.int32()), pa.array([_pack_rising(names)], pa.binary()), pa.array([_pack_rising(heads)], pa.binary()),
+            pa.array([_pack_rising(known)], pa.binary()), pa.array([_pack(total, "<u8")], pa.binary()), pa.array([asked], _ASKED),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "words", "heads", "keys", "counts", "asked"])
+
+
+def seat(customers: np.ndarray, weight, discount: float, rng) -> np.ndarray:
     """Tables of each dish after its customers sat down one after the other; the first one always takes a new table.
 
-    The next customer, after ``k`` at ``t`` tables, opens one with weight ``new_table`` against ``k - discount * t``. Customers of
-    large dishes are drawn in blocks of a tenth of those before them, within which the chance is held.
+    The next customer, after ``k`` at ``t`` tables, opens one with weight ``weight(dishes, t)`` against ``k - discount * t``. While no table
+    opens, that weight holds; the number of customers until the next one opens is then geometric with a chance drawn from
+    Beta(weight, k - discount * t), so each step opens a table of every dish that is left.
     """
     tables = (customers > 0).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
-    size, weight, found = customers[order], new_table[order], tables[order]
-    k = 1
-    while True:
-        n = int(np.searchsorted(-size, -k, side="left"))  # those with more than k customers
-        if not n:
-            break
-        block = max(1, k // 10)
-        chance = weight[:n] / (weight[:n] + np.maximum(k - discount * found[:n], 1e-12))
-        found[:n] += rng.binomial(np.minimum(block, size[:n] - k), np.minimum(chance, 1.0))
-        k += block
-    out = np.empty_like(found)
-    out[order] = np.minimum(found, size)
-    return out
+    dish = np.flatnonzero(customers > 1)
+    seated, size = np.ones(len(dish)), customers[dish].astype(float)
+    while len(dish):
+        t = tables[dish]
+        chance = rng.beta(np.maximum(weight(dish, t), 1e-300), seated - discount * t)
+        with np.errstate(divide="ignore", over="ignore"):
+            seated = seated + 1 + np.floor(np.log1p(-rng.random(len(dish))) / np.log1p(-np.minimum(chance, 1 - 1e-16)))
+        opened = seated <= size
+        dish, seated, size = dish[opened], seated[opened], size[opened]
+        tables[dish] += 1
+    return tables
 
 
 class _Seats:
-    """A bucket's words under given totals. Contexts are places from 1 in the bucket's heads; 0 is the parent itself."""
+    """A bucket's words and pairs under given totals; ``context`` is the pair's place among the bucket's heads."""
 
     def __init__(self, row: dict):
         self.bucket = row["bucket"]
-        self.hashes = _unpack(row["words"], "<u8")
-        self.word = np.repeat(np.arange(len(self.hashes)), _unpack(row["pairs"], "<u4"))
-        self.context = _unpack_places(row["contexts"], len(self.word))
+        self.hashes, self.heads = _unpack_rising(row["words"]), _unpack_rising(row["heads"])
+        keys = _places(row["keys"])
+        self.word, self.context = keys // len(self.heads), keys % len(self.heads)
         self.count = _unpack(row["counts"], "<u8").astype(np.int64)
-        self.seen = np.bincount(self.word, weights=self.count, minlength=len(self.hashes)).astype(np.int64)
+        self.seen = self.sums(self.count)
 
     def sums(self, per_pair: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, weights=per_pair, minlength=len(self.hashes))
+        return np.bincount(self.word, weights=per_pair, minlength=len(self.hashes)).astype(np.int64)
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """One table for each dish, of contexts' restaurants and of the parent."""
+        tables = (self.count > 0).astype(np.int64)
+        return tables, (self.sums(tables) > 0).astype(np.int64)
 
-    def parent(self, customers, tables, g: dict) -> np.ndarray:
-        """Probability of each word in the parent."""
+    def parent(self, customers, tables, g: dict, extra=0) -> np.ndarray:
+        """Probability of words with so many customers and tables in the parent, which has ``extra`` customers more than ``g`` says."""
         base = (STRENGTH + g["d0"] * g["tables0"]) / g["kinds"]
-        return (np.maximum(customers - g["d0"] * tables, 0) + base) / (STRENGTH + g["customers0"])
+        return (np.maximum(customers - g["d0"] * np.minimum(tables, customers), 0) + base) / (STRENGTH + g["customers0"] + extra)
 
-    def sample(self, g: dict, sweep: int):
-        """Tables of pairs, and customers and tables of words in the parent; the same for the same totals and sweep."""
-        rng = np.random.default_rng([sweep, self.bucket])
-        own = self.context > 0
-        tables = np.where(own, self.count > 0, self.count)
+    def sweep(self, state: tuple, g: dict, contexts: np.ndarray, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The state after every dish's customers left and sat down again; ``contexts`` has the tables of each context's restaurant."""
+        tables, at_parent = state
+        rng = np.random.default_rng(seed)
         customers = self.sums(tables)
-        base = np.full(len(customers), (STRENGTH + g["d0"] * g["tables0"]) / g["kinds"])
-        at_parent = (customers > 0).astype(np.int64)
-        for _ in range(2):
-            p = self.parent(customers, at_parent, g)
-            weight = (STRENGTH + g["d1"] * g["tables"][self.context[own]]) * p[self.word[own]]
-            tables[own] = seat(self.count[own], weight, g["d1"], rng)
-            customers = self.sums(tables)
-            at_parent = seat(customers.astype(np.int64), base, g["d0"], rng)
-        return tables, customers, at_parent
-
-    def predict(self, seats, g: dict) -> np.ndarray:
-        """Probability of each pair's word in its context."""
-        tables, customers, at_parent = seats
-        p = self.parent(customers, at_parent, g)[self.word]
-        c = self.context
+        left = customers[self.word] - tables
+        others = contexts[self.context] - tables
+
+        def new_table(pairs, t):
+            word = self.word[pairs]
+            kept = np.maximum(at_parent[word], 1)
+            p = self.parent(left[pairs] + t, kept, g, t - tables[pairs])
+            return (STRENGTH + g["d1"] * (others[pairs] + t)) * p
+
+        tables = seat(self.count, new_table, g["d1"], rng)
+        of_parent = lambda words, t: (STRENGTH + g["d0"] * (g["tables0"] - at_parent[words] + t)) / g["kinds"]
+        return tables, seat(self.sums(tables), of_parent, g["d0"], rng)
+
+    def predict(self, state: tuple, g: dict, guests: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Probability of each pair's word in its context; restaurants have so many ``guests`` at the tables of ``contexts``."""
+        tables, at_parent = state
+        p = self.parent(self.sums(tables), at_parent, g)[self.word]
         own = np.maximum(self.count - g["d1"] * tables, 0)
-        inside = (own + (STRENGTH + g["d1"] * g["tables"][c]) * p) / (STRENGTH + g["customers"][c])
-        return np.where(c > 0, inside, p)
+        return (own + (STRENGTH + g["d1"] * contexts[self.context]) * p) / (STRENGTH + guests[self.context])
 
 
 _HOMES = "home int, asked array<struct<bucket:int,places:binary>>"
-_REPORT = "home int, bucket int, customers binary, tables binary, sums array<bigint>"
-_REPORT_SCHEMA = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_REPORT = "home int, bucket int, customers binary, tables binary, sums array<bigint>, pairs binary, parents binary"
+_REPORT_SCHEMA = _schema(_REPORT)
 _TOTALS = "bucket int, home int, customers binary, tables binary"
-_TOTALS_SCHEMA = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
+_TOTALS_SCHEMA = _schema(_TOTALS)
 
 
 def _slices(heads: np.ndarray, homes: int):
@@ -279,9 +280,9 @@ def _to_homes(homes: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                heads = _unpack_hashes(row["heads"])
-                for home, a, b in _slices(heads, homes):
-                    yield pa.RecordBatch.from_pydict({"home": pa.array([home], pa.int32()), "bucket": pa.array([row["bucket"]], pa.int32()), "heads": pa.array([_pack_hashes(heads[a:b])], pa.binary())})
+                heads = _unpack_rising(row["heads"])
+                rows = [(home, row["bucket"], _pack_rising(heads[a:b])) for home, a, b in _slices(heads, homes)]
+                yield _rows(rows, _schema("home int, bucket int, heads binary"))
 
     return run
 
@@ -289,20 +290,18 @@ def _to_homes(homes: int):
 def _settle_homes(batches):
     """For each home, and each bucket that has contexts there, their places among the home's contexts."""
     for home, rows in _by("home", batches):
-        heads = [_unpack_hashes(r["heads"]) for r in rows]
-        known = np.unique(np.concatenate(heads))
-        asked = [{"bucket": r["bucket"], "places": _pack(np.searchsorted(known, h), "<u4")} for r, h in zip(rows, heads, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([home], pa.int32()), pa.array([asked], pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary())])))], names=["home", "asked"]
-        )
+        known = np.unique(np.concatenate([_unpack_rising(r["heads"]) for r in rows]))
+        asked = [{"bucket": r["bucket"], "places": _pack_rising(np.searchsorted(known, _unpack_rising(r["heads"])))} for r in rows]
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary())]))
+        yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([asked], kind)], names=["home", "asked"])
 
 
 def _add_reports(batches):
     """The reports of a home's buckets added up, and the totals for each bucket. Customers come with the first reports only."""
     for batch in batches:
         for row in batch.to_pylist():
-            places = {a["bucket"]: _unpack(a["places"], "<u4") for a in row["asked"]}
-            size = max(int(p.max()) for p in places.values()) + 1
+            places = {a["bucket"]: _places(a["places"]) for a in row["asked"]}
+            size = max(int(p[-1]) for p in places.values()) + 1
             sums = {}
             for name in ("customers", "tables"):
                 given = [r for r in row["reports"] if r[name] is not None]
@@ -315,113 +314,108 @@ def _add_reports(batches):
 
 
 def _local(totals: list[dict], name: str) -> np.ndarray:
-    """A bucket's totals by place: those of its homes one after the other, behind the parent's place."""
-    return np.concatenate([[0.0], *[_unpack(r[name], "<u8").astype(float) for r in sorted(totals, key=lambda r: r["home"])]])
+    """A bucket's totals by place: those of its homes one after the other."""
+    return np.concatenate([_unpack(r[name], "<u8").astype(np.int64) for r in sorted(totals, key=lambda r: r["home"])])
+
+
+def _state(row: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_unpack(row[f"s{k}"][n], "<u8").astype(np.int64) for n in ("pairs", "parents"))
 
 
 def _report(g: dict | None, sweep: int, homes: int):
-    """Of each bucket: customers and tables of its contexts for their homes; home -1 has sums over all of them."""
+    """Of each bucket: customers and tables of its contexts for their homes; home -1 has sums over all of them and the bucket's state."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                s, heads = _Seats(row), _unpack_hashes(row["heads"])
+                s = _Seats(row)
                 if g is None:
-                    found = (s.count > 0).astype(np.int64)
-                    at = s.sums(found)
-                    seats = found, at, at > 0
+                    state = s.first()
                 else:
-                    seats = s.sample(g | {"tables": _local(row["t0"], "tables")}, sweep)
-                add = lambda per_pair: np.bincount(s.context, weights=per_pair, minlength=len(heads) + 1)[1:]  # noqa: E731, B023
-                customers, tables = add(s.count) if g is None else None, add(seats[0])
+                    k = sweep - 1
+                    state = s.sweep(_state(row, k), g, _local(row[f"t{k}"], "tables"), [sweep, s.bucket])
+                add = lambda per_pair: np.bincount(s.context, weights=per_pair, minlength=len(s.heads))  # noqa: E731, B023
+                customers, tables = add(s.count) if g is None else None, add(state[0])
                 out = [
-                    (home, s.bucket, None if customers is None else _pack(customers[a:b], "<u8"), _pack(tables[a:b], "<u8"), None)
-                    for home, a, b in _slices(heads, homes)
+                    (home, s.bucket, None if customers is None else _pack(customers[a:b], "<u8"), _pack(tables[a:b], "<u8"), None, None, None)
+                    for home, a, b in _slices(s.heads, homes)
                 ]
-                sums = (
-                    seats[1].sum(), seats[2].sum(), s.seen.sum(), (s.seen > 0).sum(), (s.count == 1).sum(), (s.count == 2).sum(), (s.seen == 1).sum(), (s.seen == 2).sum()
-                )
-                out.append((-1, s.bucket, None, None, [int(x) for x in sums]))
+                at = s.sums(state[0])
+                sums = (at.sum(), state[1].sum(), s.seen.sum(), (s.seen > 0).sum(), (s.count == 1).sum(), (s.count == 2).sum(), (at == 1).sum(), (at == 2).sum())
+                out.append((-1, s.bucket, None, None, [int(x) for x in sums], *[_pack(x, "<u8") for x in state]))
                 yield _rows(out, _REPORT_SCHEMA)
 
-    return run
+    return trimmed(run)
 
 
-def _gather(words: DataFrame, places: DataFrame, homes: int, g: dict | None, sweep: int) -> tuple[dict, DataFrame]:
-    """Sums over all restaurants after a sweep, and (bucket, t) with the totals of each bucket's contexts."""
+def _gather(words: DataFrame, places: DataFrame, g: dict | None, sweep: int, homes: int) -> tuple[dict, DataFrame, DataFrame]:
+    """Sums over all restaurants after a sweep, (bucket, s) with each bucket's state, (bucket, t) with the totals of its contexts."""
     reports = settle(words.mapInArrow(_report(g, sweep, homes), _REPORT), "lm-reports")
-    n = 8
-    row = reports.where("home < 0").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(f"s{k}") for k in range(n)]).first()
-    customers0, tables0, tokens, vocabulary, once, twice, once_word, twice_word = (int(row[k]) for k in range(n))
+    row = reports.where("home < 0").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(f"s{k}") for k in range(8)]).first()
+    customers0, tables0, tokens, vocabulary, once, twice, once_word, twice_word = map(int, row)
 
     def discount(once: int, twice: int) -> float:
         return float(min(max(once / (once + 2 * twice), 0.1), 0.95)) if once else 0.5
 
     by_home = reports.where("home >= 0").groupBy("home").agg(F.collect_list(F.struct("bucket", "customers", "tables")).alias("reports"))
     totals = settle(places.join(by_home.hint("merge"), "home").mapInArrow(_add_reports, _TOTALS), "lm-totals")
+    state = settle(reports.where("home < 0").select("bucket", F.struct("pairs", "parents").alias(f"s{sweep}")), "lm-state")
     drop_settled(reports)
     sums = {
-        "customers0": float(customers0), "tables0": float(tables0), "tokens": tokens, "vocabulary": vocabulary, "kinds": float(vocabulary + 1),
+        "customers0": customers0, "tables0": tables0, "tokens": tokens, "vocabulary": vocabulary, "kinds": float(vocabulary + 1),
         "d1": discount(once, twice), "d0": discount(once_word, twice_word),
     }
-    return sums, totals.groupBy("bucket").agg(F.collect_list(F.struct("home", "customers", "tables")).alias("t"))
+    return sums, state, totals
 
 
-_ANSWER = "chunk bigint, bucket int, logs binary, seen binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
+def _by_bucket(totals: DataFrame, sweep: int) -> DataFrame:
+    return totals.groupBy("bucket").agg(F.collect_list(F.struct("home", "customers", "tables")).alias(f"t{sweep}"))
+
+
+_ANSWER = "chunk bigint, bucket int, logs binary, seen binary, runs binary, lengths binary, places binary, ids array<bigint>, held array<boolean>"
+_ANSWER_SCHEMA = _schema(_ANSWER)
 
 
 def _answer(sums: list[dict], sweeps: list[int]):
-    """Probabilities for the chunks; the column ``t{s}`` has the bucket's totals after sweep ``s``."""
+    """Probabilities for the chunks: pairs' logs in steps, and how often each of their words was seen, with its number of pairs."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Seats(row)
-                customers = _local(row["t0"], "customers")
-                g = {k: sums[k] | {"tables": _local(row[f"t{k}"], "tables"), "customers": customers} for k in {*sweeps, *[k - 1 for k in sweeps]}}
-                p = np.mean([s.predict(s.sample(g[k - 1], k), g[k]) for k in sweeps], axis=0)
-                logs, seen = np.log10(p), s.seen[s.word]
+                s, guests = _Seats(row), _local(row["t0"], "customers")
+                p = sum(s.predict(_state(row, k), sums[k], guests, _local(row[f"t{k}"], "tables")) for k in sweeps) / len(sweeps)
+                steps = np.minimum(np.rint(-np.log10(p) * LOG_STEPS), (1 << 16) - 1)
                 for ask in row["asked"]:
-                    at = _unpack(ask["places"], "<u4")
-                    rows = [(ask["chunk"], s.bucket, _pack(logs[at], "<f4"), _pack(seen[at], "<u8"), None, None, None, None)]
+                    at = _places(ask["places"])
+                    words = s.word[at]
+                    first = np.flatnonzero(np.diff(words, prepend=-1))
+                    runs = np.diff(first, append=len(words))
+                    rows = [(ask["chunk"], s.bucket, _pack(steps[at], "<u2"), _pack(s.seen[words[first]], "<u8"), _pack(runs, "<u4"), None, None, None, None)]
                     yield _rows(rows, _ANSWER_SCHEMA)
 
-    return run
+    return trimmed(run)
 
 
-_ANSWER_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("bucket", pa.int32())]
-    + [(n, pa.binary()) for n in ("logs", "seen", "lengths", "places")]
-    + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-)
-_SCORES = pa.schema(
-    [("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-)
+_SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_SCORE_SCHEMA = _schema(_SCORES)
 
 
 def _score(tokens: int, vocabulary: int):
     def run(batches):
         for _, rows in _by("chunk", batches):
             docs, answers = rows[0], rows[1:]  # bucket -1 comes first, then the pairs in order
-            logs = np.concatenate([_unpack(r["logs"], "<f4") for r in answers]).astype(float)
-            seen = np.concatenate([_unpack(r["seen"], "<u8") for r in answers]).astype(float)
+            logs = np.concatenate([_unpack(r["logs"], "<u2") for r in answers]).astype(float) / -LOG_STEPS
+            seen = np.concatenate([np.repeat(_unpack(r["seen"], "<u8"), _unpack(r["runs"], "<u4")) for r in answers]).astype(float)
             base = np.log10((seen + 1) / (tokens + vocabulary + 1))
             places, lengths = _unpack(docs["places"], "<u4"), _unpack(docs["lengths"], "<u4").astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            n = len(lengths)
             columns = [
-                docs["ids"], docs["held"], lengths, np.add.reduceat((seen > 0)[places].astype(np.int64), starts), np.full(n, tokens, np.int64),
+                docs["ids"], docs["held"], lengths, np.add.reduceat((seen > 0)[places].astype(np.int64), starts), np.full(len(lengths), tokens, np.int64),
                 np.add.reduceat(base[places], starts), np.add.reduceat(logs[places], starts),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORE_SCHEMA, strict=True)], schema=_SCORE_SCHEMA)
 
-
-def _free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files that no table in use needs; it follows the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return trimmed(run)
 
 
 def held_out(id_col, parts: int = 7, part: int = 2):
@@ -436,47 +430,58 @@ def score_texts(docs: DataFrame, held=None, id_col: str = "doc_id", text_col: st
     scored each; ids may be null. Extra columns are ignored. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    buckets = buckets or BUCKETS_EACH * shuffle_width(spark)
     held = held_out(F.col(id_col)) if held is None else held
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
+    if not buckets:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(shuffle_width(spark), -(-size // BUCKET_BYTES))
+    tasks = max(shuffle_width(spark), -(-buckets // TASK_BUCKETS))
+    homes = max(1, buckets // HOME_BUCKETS)
     path = scratch(spark, "lm-chunks")
     source.mapInArrow(_chunks(buckets), _PARTS).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("pairs")).write.partitionBy("kind").parquet(path)
     parts = spark.read.schema(f"{_PARTS}, kind string").parquet(path)
-    pairs = parts.where("kind = 'pairs'").select("bucket", "chunk", "words", "pairs", "heads", "contexts", "counts")
-    dealt = pairs.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "chunk")
-    added = settle(dealt.mapInArrow(_add_up, _BUCKET), "lm-buckets")
+    pairs = parts.where("kind = 'pairs'").select("bucket", "chunk", "words", "heads", "keys", "counts")
+    dealt = pairs.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk")
+    added = settle(dealt.mapInArrow(trimmed(_add_up), _BUCKET), "lm-buckets")
     del pairs, dealt
     remove(spark, f"{path}/kind=pairs")
-    _free_shuffles(spark)
-    homes = shuffle_width(spark)
-    lean = added.select("bucket", "words", "pairs", "heads", "contexts", "counts").repartition(homes, "bucket").persist(StorageLevel.DISK_ONLY)
+    free_unused(spark)
+    lean = added.select("bucket", "words", "heads", "keys", "counts").repartition(tasks, "bucket").persist(StorageLevel.DISK_ONLY)
     heads = added.select("bucket", "heads").mapInArrow(_to_homes(homes), "home int, bucket int, heads binary")
-    places = heads.repartition(homes, "home").sortWithinPartitions("home", "bucket").mapInArrow(_settle_homes, _HOMES)
-    places = settle(places, "lm-homes").repartition(homes, "home").persist(StorageLevel.DISK_ONLY)
-    sums, totals = [], []
+    homed = settle(heads.repartition(tasks, "home").sortWithinPartitions("home", "bucket").mapInArrow(_settle_homes, _HOMES), "lm-homes")
+    places = homed.repartition(tasks, "home").persist(StorageLevel.DISK_ONLY)
+    sums, states, totals = [], [], []
     for sweep in range(SWEEPS + 1):
-        words = lean.join(totals[-1].withColumnRenamed("t", "t0").hint("merge"), "bucket") if sweep else lean
-        g, after = _gather(words, places, homes, sums[-1] if sweep else None, sweep)
+        words = lean
+        if sweep:
+            words = lean.join(states[-1].hint("merge"), "bucket").join(_by_bucket(totals[-1], sweep - 1).hint("merge"), "bucket")
+        g, state, after = _gather(words, places, sums[-1] if sweep else None, sweep, homes)
         sums.append(g)
+        states.append(state)
         totals.append(after)
     del words
     for kept in (lean, places):
         kept.unpersist(True)
     del lean, places
-    _free_shuffles(spark)
-    every = added
-    for k, after in enumerate(totals):
-        if k == 0 or k >= BURN_IN:
-            every = every.join(after.withColumnRenamed("t", f"t{k}").hint("merge"), "bucket")
-    answers = every.mapInArrow(_answer(sums, list(range(BURN_IN + 1, SWEEPS + 1))), _ANSWER)
-    texts = parts.where("kind = 'texts'").select(
-        "chunk", "bucket", F.lit(None).cast("binary").alias("logs"), F.lit(None).cast("binary").alias("seen"), "lengths", "places", "ids", "held"
-    )
-    both = texts.unionByName(answers).repartition(shuffle_width(spark), "chunk").sortWithinPartitions("chunk", "bucket")
-    return both.mapInArrow(
-        _score(sums[0]["tokens"], sums[0]["vocabulary"]),
-        "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
-    )
+    drop_settled(homed)
+    for k in range(BURN_IN + 1):
+        drop_settled(states[k])
+        if k:
+            drop_settled(totals[k])
+    free_unused(spark)
+    sweeps = list(range(BURN_IN + 1, SWEEPS + 1))
+    every = added.join(_by_bucket(totals[0], 0).hint("merge"), "bucket")
+    for k in sweeps:
+        every = every.join(states[k].hint("merge"), "bucket").join(_by_bucket(totals[k], k).hint("merge"), "bucket")
+    answers = every.mapInArrow(_answer(sums, sweeps), _ANSWER)
+    empty = [F.lit(None).cast("binary").alias(n) for n in ("logs", "seen", "runs")]
+    texts = parts.where("kind = 'texts'").select("chunk", "bucket", *empty, "lengths", "places", "ids", "held")
+    both = texts.unionByName(answers).repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
+    out = settle(both.mapInArrow(_score(sums[0]["tokens"], sums[0]["vocabulary"]), _SCORES), "lm-scores")
+    for used in (added, totals[0], *[x[k] for k in sweeps for x in (states, totals)]):
+        drop_settled(used)
+    remove(spark, path)
+    return out
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
