@@ -1,7 +1,9 @@
 """Toxicity: held-out accuracy, Kneser-Ney probabilities, odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -72,3 +74,61 @@ def test_word_sums_do_not_depend_on_neighbours():
     c = toxicity.KneserNeyContrast.fit(grams, counts.astype(float), np.zeros(len(grams)))
     one = [float(c.by_word([w])[0]) for w in words]
     assert np.allclose(c.by_word(words), one) and c.by_word([]).size == 0
+
+
+def plain_contrast(toxic, ordinary):
+    """The difference of a word's log-likelihoods, from dictionaries of byte strings."""
+    split = lambda word: [(b"    " + word + b" ")[k : k + 5] for k in range(len(word) + 1)]
+    counts = [Counter(g for w in words for g in split(w)) for words in (toxic, ordinary)]
+    grams = set(counts[0]) | set(counts[1])
+
+    def discount(values):
+        once, twice = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+    below = {b"": 1 / 256}
+    levels = [grams]
+    for _ in range(4):
+        levels.append({g[1:] for g in levels[-1]})
+    for longer in reversed(levels[:-1]):
+        cont = Counter(g[1:] for g in longer)
+        d = discount(cont.values())
+        total, kinds = Counter(), Counter(g[:-1] for g in cont)
+        for g, n in cont.items():
+            total[g[:-1]] += n
+        below = {g: (max(n - d, 0) + d * kinds[g[:-1]] * below[g[1:]]) / total[g[:-1]] for g, n in cont.items()}
+
+    def log_likelihoods(g):
+        out = []
+        for own in counts:
+            d = discount(own.values())
+            total = sum(n for h, n in own.items() if h[:-1] == g[:-1])
+            left = d * sum(h[:-1] == g[:-1] for h in own) / total if total else 1.0
+            shared = below[g[1:]] if g in grams else 1.0
+            out.append(math.log((max(own[g] - d, 0) / total if total else 0.0) + left * shared))
+        return out
+
+    known = {g[:-1] for g in grams}
+    return lambda word: sum(a - b for g in split(word) if g[:-1] in known for a, b in [log_likelihoods(g)])
+
+
+def test_contrast_and_score_against_plain_python():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aber") for _ in range(rng.randrange(1, 7))).encode()
+    ordinary, toxic = [word() for _ in range(300)], [word() for _ in range(60)] + [b"bad", b"badder"] * 9
+    rows = [np.unique(toxicity.gram_codes(words), return_counts=True) for words in (toxic, ordinary)]
+    grams = np.unique(np.concatenate([r[0] for r in rows]))
+    given = [np.array([dict(zip(r[0].tolist(), r[1].tolist())).get(g, 0.0) for g in grams.tolist()]) for r in rows]
+    model = toxicity.KneserNeyContrast.fit(grams, *given)
+    plain = plain_contrast(toxic, ordinary)
+    asked = [*ordinary[:40], *toxic[:40], b"badb", b"zz", b"never"]
+    assert np.allclose(model.by_word(asked), [plain(w) for w in asked])
+    values = sorted((plain(w) for w in asked), reverse=True)
+    n = len(values)
+    beyond = [sum(v > limit for v in values) for limit in (1.5, 2.5, 3.5, 4.5)]
+    want = [sum(values) / n, sum(values) / n**0.5, *values[:2], *[k / n**0.5 for k in beyond], *[math.log(1 + k) for k in beyond]]
+    assert np.allclose(toxicity._Scorer(model).features(b" ".join(asked).decode()), want)
+    weights = np.linspace(-0.5, 0.5, toxicity.N_FEATURES + 1)
+    curve = toxicity.ToxicityModel(model, np.ones(toxicity.N_FEATURES), np.full(toxicity.N_FEATURES, 2.0), weights)
+    z = weights[0] + sum(w * min(max((x - 1) / 2, -20), 20) for w, x in zip(weights[1:], want, strict=True))
+    assert np.isclose(curve.probability(np.array([want]))[0], 1 / (1 + math.exp(-min(max(z, -30), 30))))

@@ -3,8 +3,9 @@
 Two models, one of toxic and one of ordinary documents, give each byte of a word its probability after the four before
 it. The highest order counts each class for itself; all lower orders are shared continuation counts of both
 classes, so an expression that one class has hardly shown is smoothed by what both have. The difference of the
-two log-likelihoods, by word, is summed and normalised by the document's length; a logistic curve on labelled rows that
-the models have not seen turns it into a score.
+two log-likelihoods, by word, is summed and normalised by the document's length; beside it stand the numbers of words whose difference
+passes some limits. A logistic curve turns these into a score. It is fitted on the labelled rows the models learn from, each
+scored by models that have not seen the row's own part of the labels.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, table
+from ._common import WORD_BYTES, drop_settled, settle, table, trimmed
 
 ORDER = 5
-#: Bounds of the labelled rows that are learnt from, by class and for the curve; of equal hashes the smaller id counts.
-CLASS_DOCS, CURVE_DOCS = 6_000, 16_000
+#: Bound of the labelled rows of each class that are learnt from; of equal hashes the smaller id counts.
+CLASS_DOCS = 8_000
+#: Parts of the labelled rows that are learnt from, by the remainder of the id's hash by 5; 0 is held out.
+PARTS = (1, 2, 3, 4)
 #: Words whose difference a worker keeps.
-KEPT_WORDS = 500_000
-N_FEATURES = 4
+KEPT_WORDS = 150_000
+#: A document's words count when their difference passes these.
+LIMITS = np.array([1.5, 2.5, 3.5, 4.5])
+N_FEATURES = 4 + 2 * len(LIMITS)
 _PAD = b" " * (ORDER - 1)
 
 
@@ -134,7 +139,8 @@ class _Scorer:
         value = np.fromiter(map(self.kept.__getitem__, words), float, len(words))
         total, n = float(value.sum()), len(words)
         top = np.sort(np.partition(value, -2)[-2:]) if n > 1 else np.repeat(value, 2)
-        return [total / n, total / n**0.5, float(top[1]), float(top[0])]
+        beyond = (value > LIMITS[:, None]).sum(1)
+        return [total / n, total / n**0.5, float(top[1]), float(top[0]), *(beyond / n**0.5).tolist(), *np.log1p(beyond).tolist()]
 
 
 @dataclass
@@ -151,8 +157,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps, with a ridge; without rows of either class it knows the class only."""
+def _curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton steps, with a ridge; each row counts so many times."""
     if len(x) == 0:
         return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.concatenate([[-1.0], np.zeros(N_FEATURES)])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -161,8 +167,8 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray
     pull = np.diag([1e-6, *[ridge] * x.shape[1]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + pull
-        w -= np.clip(np.linalg.solve(h, a.T @ (p - y) + pull @ w), -5, 5)
+        h = (a * (times * p * (1 - p))[:, None]).T @ a + pull
+        w -= np.clip(np.linalg.solve(h, a.T @ (times * (p - y)) + pull @ w), -5, 5)
     return mean, scale, w
 
 
@@ -176,61 +182,70 @@ def _bounded(labels: DataFrame, n: int) -> DataFrame:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    class_docs: int = CLASS_DOCS, curve_docs: int = CURVE_DOCS,
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", class_docs: int = CLASS_DOCS
 ) -> ToxicityModel:
     """Learns from labelled rows whose crc32 of the id, as text, is no multiple of 5.
 
-    Of those, remainder 4 is for the curve and the others are for the models. At most ``class_docs`` rows of each class
-    and ``curve_docs`` rows for the curve are used, those whose ids have the smallest hashes; so the list of ids that is sent to the
-    executors, the counts and the model are bounded whatever the input. An id labelled twice counts as toxic if any label
-    says so; null ids and null labels are left out. Null texts have no words.
+    At most ``class_docs`` rows of each class are used, those whose ids have the smallest hashes; so the list of ids that is sent to the
+    executors, the counts and the model are bounded whatever the input. In the curve each class counts as often as it is labelled. An id
+    labelled twice counts as toxic if any label says so; null ids and null labels are left out. Null texts have no words; very long ones
+    cost in proportion.
     """
-    part = F.crc32(F.col("own_id").cast("string").cast("binary")) % 5
     known = (
         labels.select(F.col(id_col).alias("own_id"), F.col(label_col).cast("int").alias("label"))
         .where("own_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("own_id")
         .agg(F.max("label").alias("label"))
-        .withColumn("part", part)
+        .withColumn("part", (F.crc32(F.col("own_id").cast("string").cast("binary")) % 5).cast("int"))
+        .where(F.col("part").isin(*PARTS))
     )
-    learn = known.where("part IN (1, 2, 3)")
-    chosen = _bounded(learn.where("label = 1"), class_docs).union(_bounded(learn.where("label = 0"), class_docs))
-    chosen = chosen.union(_bounded(known.where("part = 4"), curve_docs))
+    chosen = _bounded(known.where("label = 1"), class_docs).union(_bounded(known.where("label <> 1"), class_docs))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("own_id"))
-    rows = rows.select("own_id", "text", "label", "part").repartition(8, "own_id").persist()
-    try:
-        counts = rows.where("part < 4").mapInArrow(_count, "label int, gram bigint, n bigint").groupBy("gram").agg(
-            F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("ordinary")
-        )
-        found = counts.toArrow()
-        grams = found["gram"].to_numpy()
-        order = np.argsort(grams)
-        contrast = KneserNeyContrast.fit(grams[order], found["toxic"].to_numpy()[order].astype(float), found["ordinary"].to_numpy()[order].astype(float))
-        sent = docs.sparkSession.sparkContext.broadcast(contrast)
-        seen = rows.where("part = 4").select("text", "label").mapInArrow(_feature_rows(sent), "features array<double>, label int").toArrow()
-    finally:
-        rows.unpersist()
+    rows = settle(rows.select("text", (F.col("label") == 1).cast("int").alias("label"), "part").repartition(8), "labelled")
+    all_of = {r["toxic"]: r["n"] for r in known.groupBy((F.col("label") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.mapInArrow(trimmed(_count), "cell int, gram bigint, n bigint").groupBy("gram").agg(
+        *[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * len(PARTS))]
+    )
+    found = counts.toArrow()
+    order = np.argsort(found["gram"].to_numpy())
+    grams = found["gram"].to_numpy()[order]
+    cells = [found[f"c{c}"].to_numpy()[order].astype(float) for c in range(2 * len(PARTS))]
+    del found, order
+    sent = docs.sparkSession.sparkContext.broadcast({part: _contrast(grams, cells, k) for k, part in enumerate(PARTS)})
+    seen = rows.mapInArrow(_feature_rows(sent), "features array<double>, label int").toArrow()
+    sent.destroy()
+    drop_settled(rows)
     x = np.array(seen["features"].to_pylist()).reshape(-1, N_FEATURES)
-    return ToxicityModel(contrast, *_curve(x, seen["label"].to_numpy().astype(float)))
+    y = seen["label"].to_numpy().astype(float)
+    times = np.where(y == 1, all_of.get(1, 0) / max(y.sum(), 1), all_of.get(0, 0) / max((1 - y).sum(), 1))
+    return ToxicityModel(_contrast(grams, cells), *_curve(x, y, times / max(times.mean(), 1e-9) if len(times) else times))
+
+
+def _contrast(grams: np.ndarray, cells: list[np.ndarray], without: int | None = None) -> KneserNeyContrast:
+    """The contrast of all parts but one; the cell of a part and class is twice the part's place, plus one if toxic."""
+    own = [k for k in range(len(PARTS)) if k != without]
+    toxic, ordinary = (np.sum([cells[2 * k + c] for k in own], axis=0) for c in (1, 0))
+    known = toxic + ordinary > 0
+    return KneserNeyContrast.fit(grams[known], toxic[known], ordinary[known])
 
 
 def _count(batches):
     for batch in batches:
-        for label in (0, 1):
-            words = [w for text, own in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True) if own == label for w in words_of(text)]
+        rows = list(zip(batch["text"].to_pylist(), batch["label"].to_pylist(), batch["part"].to_pylist(), strict=True))
+        for cell in range(2 * len(PARTS)):
+            words = [w for text, label, part in rows if 2 * PARTS.index(part) + label == cell for w in words_of(text)]
             grams, n = np.unique(gram_codes(words), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), label, np.int32)), pa.array(grams), pa.array(n)], names=["label", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), cell, np.int32)), pa.array(grams), pa.array(n)], names=["cell", "gram", "n"])
 
 
 def _feature_rows(sent):
     def run(batches):
-        scorer = _Scorer(sent.value)
+        scorers = {part: _Scorer(c) for part, c in sent.value.items()}
         for batch in batches:
-            rows = [scorer.features(t.as_py()) for t in batch["text"]]
+            rows = [scorers[part].features(t.as_py()) for t, part in zip(batch["text"], batch["part"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch["label"]], names=["features", "label"])
 
-    return run
+    return trimmed(run)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -250,7 +265,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             columns = [pa.array(sent.value.probability(x)) if n == "score" else batch[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(trimmed(run), out.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
