@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_settled, free_unused, settle, shuffle_width, table, workspace
+from ._common import drop_settled, free_unused, settle, shuffle_width, table, trimmed, workspace
 from .components import connected_components
 
 #: Words of a shingle; the similarity asked for, as a fraction.
@@ -55,7 +55,7 @@ SKETCH_WORDS, FOLD_WORDS = 32, 8
 #: Bits of the filter of ids that keeps most texts out of a shuffle; fixed, whatever the number of ids.
 FILTER_BITS = 1 << 20
 #: Documents of one packed block; buckets per shuffle partition.
-BLOCK_DOCS, BUCKETS_EACH = 4000, 4
+BLOCK_DOCS, BUCKETS_EACH = 2500, 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -281,7 +281,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, work) -> DataFrame:
     wanted = settle(near.join(ids.hint("merge"), F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]), "texts")
     second = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    out = work.settle(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint"), "linked")
+    out = work.settle(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_compare), "a bigint, b bigint"), "linked")
     drop_settled(wanted)
     free_unused(texts.sparkSession)
     return out
@@ -533,7 +533,7 @@ def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _classes(source: DataFrame, work) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sets of all rows, smallest id by digest, class of every id with a set, and the sets of the classes' smallest ids."""
-    classes = work.settle(source.mapInArrow(_describe, _CLASS), "sets")
+    classes = work.settle(source.mapInArrow(trimmed(_describe), _CLASS), "sets")
     sets = classes.where("n > 0 AND id IS NOT NULL")
     least = work.settle(sets.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     member = sets.join(least.hint("merge"), "digest").select("id", "class_id")
@@ -593,9 +593,9 @@ def _cross_links(source: DataFrame, heads: DataFrame, moved: DataFrame, work, jo
     asked = once.where(is_moved(F.col("id"))).join(check.hint("merge"), F.col("id") == F.col("own"), "left").where("known IS NULL OR label IS NOT NULL")
     placed = still.select("id", "text", "label").union(asked.select("id", "text", F.coalesce("label", "id").alias("label")))
     buckets = BUCKETS_EACH * shuffle_width(spark)
-    blocks = placed.mapInArrow(_file_segments(plan, given, buckets), _BLOCK)
+    blocks = placed.mapInArrow(trimmed(_file_segments(plan, given, buckets)), _BLOCK)
     dealt = blocks.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
-    found = work.settle(dealt.mapInArrow(_meet, _FOUND), "met")
+    found = work.settle(dealt.mapInArrow(trimmed(_meet), _FOUND), "met")
     free_unused(spark)
     met = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("credits").alias("credits"), F.min("flags").alias("allowed"))
     common = found.where("b IS NULL")

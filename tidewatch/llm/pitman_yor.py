@@ -31,7 +31,7 @@ from pyspark.storagelevel import StorageLevel
 from ._common import drop_settled, free_unused, remove, scratch, settle, shuffle_width, table, trimmed
 
 #: Words of a chunk, about; bytes of text for each bucket; buckets of a task, and buckets to each home of contexts.
-CHUNK_WORDS, BUCKET_BYTES, TASK_BUCKETS, HOME_BUCKETS = 4_000_000, 8 << 20, 4, 8
+CHUNK_WORDS, BUCKET_BYTES, TASK_BUCKETS, HOME_BUCKETS = 3_000_000, 8 << 20, 4, 8
 #: Gibbs sweeps, of which the first ones are not averaged.
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
@@ -110,15 +110,20 @@ class _Chunk:
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        tokens, lengths = rank[np.concatenate(self.tokens)], np.array(self.lengths)
+        lengths = np.array(self.lengths)
+        tokens = np.concatenate(self.tokens)
         self.tokens, self.local = [], {}
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = tokens[:-1]
-        before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = rank[0]
-        keys, places = np.unique(tokens * len(names) + before, return_inverse=True)
+        pairs = rank[tokens]
+        pairs *= len(names)
+        pairs[1:] += rank[tokens[:-1]]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        pairs[starts] = rank[tokens[starts]] * len(names) + rank[0]
+        del tokens
+        keys, places = np.unique(pairs, return_inverse=True)
+        del pairs
         learnt = np.repeat(~np.array(self.held, bool), lengths)
         counts = np.bincount(places[learnt], minlength=len(keys))
-        del tokens, before, learnt
+        del learnt
         sorted_hashes = hashes[order]
         word_cuts = np.searchsorted(sorted_hashes, bucket_edges(buckets), side="right")
         pair_cuts = np.searchsorted(keys, word_cuts * len(names))
