@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,11 @@ def drop_settled(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def filesystem(uri: str):
+    """(file system, path) of a folder all executors share."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,19 +1,21 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The automaton of all items is built on the driver in blocks of bounded size, sent to the executors, and walked once per
-training word: the state and the longest match that ends there say which item passages end at that word. Each block is a
-pass of its own, so a benchmark of any size is done with the memory of one block.
+The automaton of all items is built on the driver in blocks of bounded size, each written to the shared folder, and walked once per
+training word: the state and the longest match that ends there say which item passages end at that word. A worker takes a batch
+of texts through all blocks in turn and holds one block at a time, so a benchmark of any size is done with the memory of one block.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, table, with_columns
+from ._common import UPPER, WORD_BYTES, filesystem, scratch, table, trimmed, with_columns
 
 #: Words that make a window; an item of fewer is one window.
 WINDOW = 13
@@ -163,38 +165,54 @@ def find_items(
     """``docs`` with ``n_words``, ``hit_spans`` (merged [start, end) in words) and ``hit_items`` (ids as strings, distinct, sorted).
 
     Null texts have no words; null or empty items make no window; items that share an id count as one, with the windows of each.
-    Rows are kept as they are, repeated ones too. Columns called like the new ones are replaced.
+    Rows are kept as they are, repeated ones too. Columns called like the new ones are replaced. Very long texts cost in proportion.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_spans", "hit_items")
-    kept = docs.columns
+    folder = scratch(spark, "automata")
+    store, place = filesystem(folder)
+    store.create_dir(place, recursive=True)
+    blocks = []
+    for k, block in enumerate(item_blocks(benchmark, item_col, item_text, block_words)):
+        blocks.append(f"block-{k}.bin")
+        with store.open_output_stream(f"{place}/{blocks[-1]}") as out:
+            out.write(zlib.compress(pickle.dumps(SuffixAutomaton(block, window), pickle.HIGHEST_PROTOCOL), 1))
     out = docs.withColumns(
         {"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("CAST(array() AS array<array<int>>)"), "hit_items": F.expr("CAST(array() AS array<string>)")}
     )
-    for block in item_blocks(benchmark, item_col, item_text, block_words):
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        out = out.mapInArrow(_walker(sent, text_col), out.schema)
-    return out.select(*kept, "n_words", "hit_spans", "hit_items")
+    return out.mapInArrow(trimmed(_walker(folder, blocks, text_col)), out.schema)
 
 
-def _walker(sent, text_col: str):
+def _walker(folder: str, blocks: list[str], text_col: str):
     def walk(batches):
-        automaton = sent.value
+        store, place = filesystem(folder)
+        held = {}
+
+        def automaton(name: str) -> SuffixAutomaton:
+            if name not in held:
+                held.clear()
+                with store.open_input_stream(f"{place}/{name}") as file:
+                    held[name] = pickle.loads(zlib.decompress(file.read()))
+            return held[name]
+
         for batch in batches:
-            counts, spans, items = [], [], []
-            before = zip(batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist(), strict=True)
-            for text, (old_spans, old_items) in zip(batch[text_col], before, strict=True):
-                words = words_of(text.as_py())
-                new_spans, new_items = automaton.hits(words)
-                if old_spans:
-                    merged: list = []
-                    for a, b in sorted([tuple(s) for s in old_spans] + new_spans):
-                        SuffixAutomaton._add(merged, a, b)
-                    new_spans = merged
-                counts.append(len(words))
-                spans.append(new_spans)
-                items.append(sorted({*old_items, *(automaton.names[i] for i in new_items)}))
-            yield with_columns(batch, n_words=counts, hit_spans=spans, hit_items=items)
+            counts = [0] * len(batch)
+            spans: list[list] = [[] for _ in counts]
+            items: list[set] = [set() for _ in counts]
+            for name in blocks:
+                block = automaton(name)
+                for k, text in enumerate(batch[text_col]):
+                    words = words_of(text.as_py())
+                    counts[k] = len(words)
+                    new_spans, new_items = block.hits(words)
+                    items[k].update(block.names[i] for i in new_items)
+                    if spans[k] and new_spans:
+                        merged: list = []
+                        for a, b in sorted(spans[k] + new_spans):
+                            SuffixAutomaton._add(merged, a, b)
+                        new_spans = merged
+                    spans[k] = new_spans or spans[k]
+            yield with_columns(batch, n_words=counts, hit_spans=spans, hit_items=[sorted(i) for i in items])
 
     return walk
 
@@ -229,6 +247,28 @@ def cut_spans(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()
     return docs.mapInArrow(cut, docs.schema)
 
 
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), p AS (
+  SELECT DISTINCT item, n, array_to_string(ws[j:j + n - 1], ' ') AS g
+  FROM (SELECT item, ws, least(len(ws), {WINDOW}) AS n, unnest(range(1, len(ws) - least(len(ws), {WINDOW}) + 2)) AS j FROM i WHERE len(ws) > 0)
+), m AS (
+  SELECT k, j, n, array_to_string(ws[j:j + n - 1], ' ') AS g
+  FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM p) WHERE len(ws) >= n)
+), h AS (SELECT DISTINCT k, j, n, item FROM m JOIN p USING (n, g)),
+c AS (SELECT k, count(DISTINCT pos) AS n_hit FROM (SELECT k, unnest(range(j, j + n)) AS pos FROM h) GROUP BY k),
+l AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {ONE_IN} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN l USING (k)
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the benchmark occurs in every document."""
     found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op4_decontaminate
+from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .jaccard_join import OP1_SQL, op1_jaccard_join, op1_jaccard_links
 from .licenses import op5_license_scan
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_jaccard_join": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_decontaminate": OP4_SQL, "op9_exact_dedup": OP9_SQL}

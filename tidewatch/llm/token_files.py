@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import scratch, shuffle_width, table
+from ._common import filesystem, scratch, shuffle_width, table, trimmed
 
 MAGIC = b"TIDETOK1"
 TRAILER = struct.Struct("<32sQQQQ8s")
@@ -37,8 +37,10 @@ TRAILER = struct.Struct("<32sQQQQ8s")
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8_000, 1 << 16
 LEVEL = 1
 #: Words whose ids a worker keeps, but for those of the 256 texts at hand; the store is emptied when it has grown beyond.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 READ_BYTES = 4 << 20
+#: Bytes of text that go to one file, if the shuffle is not wider anyway.
+SHARD_BYTES = 64 << 20
 
 
 class WordEncoder:
@@ -147,15 +149,11 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _filesystem(uri: str):
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
 class ShardWriter:
     """Appends frames to a new file; memory holds the index only."""
 
     def __init__(self, folder: str, name: str, dictionary_hash: bytes, width: int):
-        self.fs, place = _filesystem(folder)
+        self.fs, place = filesystem(folder)
         self.fs.create_dir(place, recursive=True)
         self.final, self.temporary = f"{place}/{name}", f"{place}/.{name}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
@@ -184,7 +182,7 @@ class ShardReader:
     """Random and sequential access to one file. Null ids come last in it."""
 
     def __init__(self, folder: str, name: str, dictionary: bytes):
-        self.fs, place = _filesystem(folder)
+        self.fs, place = filesystem(folder)
         self.file = self.fs.open_input_file(f"{place}/{name}")
         size = self.file.size()
         self.file.seek(size - TRAILER.size)
@@ -281,16 +279,19 @@ def write_token_files(
     a count over the id column has set. Returns the folder's description.
     """
     spark = docs.sparkSession
-    shards = shards or shuffle_width(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(shuffle_width(spark), -(-size // SHARD_BYTES))
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = file.read()
     encoder = WordEncoder(spec)
     drawn = source.where(F.rand(11) < 1.2 * SAMPLE_DOCS / max(source.select("doc_id").count(), 1)).limit(SAMPLE_DOCS)
-    texts = [r["text"] for r in drawn.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
+    room = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    piece = F.substring("text", F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SAMPLE_CHARS))  # from any place of a long text
+    texts = [r["text"] for r in drawn.select(piece.alias("text")).collect()]
     dictionary = train_dictionary(encoder.encode(texts, end))
     digest = hashlib.sha256(dictionary).digest()
-    store, place = _filesystem(folder)
+    store, place = filesystem(folder)
     store.create_dir(place, recursive=True)
     with store.open_output_stream(f"{place}/dictionary.zdict") as out:
         out.write(dictionary)
@@ -298,15 +299,15 @@ def write_token_files(
     bounds = sorted(set(cuts)) if shards > 1 else []
     listed = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.expr("CAST(array() AS array<bigint>)")
     shard = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(listed, lambda b: b <= F.col("doc_id")))).cast("int")
-    frames = source.select("doc_id", shard.alias("shard"), "text").mapInArrow(_encode(spark.sparkContext.broadcast(spec), dictionary, end), FRAMES)
-    ordered = frames.repartition(min(len(bounds) + 2, 4 * shuffle_width(spark)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "n_tokens", "crc")
+    frames = source.select("doc_id", shard.alias("shard"), "text").mapInArrow(trimmed(_encode(spark.sparkContext.broadcast(spec), dictionary, end)), FRAMES)
+    ordered = frames.repartition(len(bounds) + 2, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "n_tokens", "crc")
     ordered.mapInArrow(_write(folder, digest, encoder.width), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return {"folder": folder, "dictionary_sha256": digest.hex(), "dictionary": dictionary, "width": encoder.width}
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    store, place = _filesystem(folder)
+    store, place = filesystem(folder)
     with store.open_input_stream(f"{place}/dictionary.zdict") as file:
         dictionary = file.read()
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
