@@ -119,6 +119,9 @@ def test_cut_and_empty(spark, tmp_path):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(decontaminate.find_items(docs, bench)).collect()}
     assert got == {1: "Keep this. ! And this.", 2: None, 3: "clean"}
+    for words, want in ((12, {1: "Keep this. ! And this.", 2: None, 3: "clean"}), (14, {r["doc_id"]: r["text"] for r in docs.collect()})):
+        found = decontaminate.find_items(docs, bench, cut=decontaminate.Limits(words=words, one_in=1))
+        assert {r["doc_id"]: (r["text"], len(r["hit_spans"])) for r in found.collect()} == {i: (t, int(i == 1)) for i, t in want.items()}
     assert decontaminate.find_items(docs.limit(0), bench).collect() == []
     assert [r["hit_items"] for r in decontaminate.find_items(docs, bench.limit(0)).collect()] == [[], [], []]
     folder = table(spark, "documents", [], SCHEMA, str(tmp_path))

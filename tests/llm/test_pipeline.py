@@ -21,10 +21,14 @@ def test_stages(spark, tmp_path):
     for k in range(10):
         docs.append((9000 + k, docs[k][1], "en", "copy", 1))
         docs.append((9100 + k, f"{item} {docs[k + 20][1]}"[: 120 + 400 * (k % 2)], "en", None, 1))
+    passage = " ".join(f"p{k}" for k in range(55))
+    short = " ".join(f"q{k}" for k in range(20))
+    river = " ".join(f"river{k % 7} stone{k % 11}" for k in range(900))
+    docs += [(9200, f"{river[:6000]} {passage.upper()}. {river[6000:]}", "en", "long", 1), (9201, f"garden {river} {short}", "en", "long", 1)]
     docs += odd_rows()
     folder = table(spark, "documents", docs, folder=str(tmp_path))
     table(spark, "labels", labels, "doc_id bigint, quality int, toxic int", folder)
-    table(spark, "benchmark", [(1, item)], "item_id bigint, text string", folder)
+    table(spark, "benchmark", [(1, item), (2, passage), (3, short)], "item_id bigint, text string", folder)
     now = spark.read.parquet(f"{folder}/documents.parquet")
     columns = now.columns
     before = [tuple(r) for r in now.collect()]
@@ -45,8 +49,10 @@ def test_stages(spark, tmp_path):
             assert sorted(r[0] for r in after if r[0]) == sorted({c for _, c in found.values()})
             assert sum(r[0] is None for r in after) == sum(r[0] is None for r in before)
         elif name == "benchmark_decontamination":
-            bad = {r[0] for r in contamination(before, [(1, item)]) if r[5]}
-            assert bad and sorted(map(str, after)) == sorted(str(r) for r in before if r[0] not in bad)
+            bad = {r[0] for r in contamination(before, [(1, item), (2, passage), (3, short)]) if r[5]}
+            cut = f"{river[:6000]} . {river[6000:]}"  # the passage of 55 words is gone, the one of 20 stays
+            want = [(9200, cut, "en", "long", len(cut)) if r[0] == 9200 else r for r in before if r[0] not in bad]
+            assert bad and {9200, 9201} <= {r[0] for r in want} and sorted(map(str, after)) == sorted(map(str, want))
         elif name == "source_mixing":
             sizes, taken, longest = {}, {}, {}
             for r in before:

@@ -160,12 +160,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_words: int = BLOCK_WORDS,
+    window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: Limits | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (merged [start, end) in words) and ``hit_items`` (ids as strings, distinct, sorted).
 
     Null texts have no words; null or empty items make no window; items that share an id count as one, with the windows of each.
-    Rows are kept as they are, repeated ones too. Columns called like the new ones are replaced. Very long texts cost in proportion.
+    With ``cut``, spans beyond these limits are taken out of the text on the way, as ``cut_spans`` does; the new columns tell of the whole text.
+    Rows are kept as they are otherwise, repeated ones too. Columns called like the new ones are replaced. Very long texts cost in proportion.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_spans", "hit_items")
@@ -180,10 +181,10 @@ def find_items(
     out = docs.withColumns(
         {"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("CAST(array() AS array<array<int>>)"), "hit_items": F.expr("CAST(array() AS array<string>)")}
     )
-    return out.mapInArrow(trimmed(_walker(folder, blocks, text_col)), out.schema)
+    return out.mapInArrow(trimmed(_walker(folder, blocks, text_col, cut)), out.schema)
 
 
-def _walker(folder: str, blocks: list[str], text_col: str):
+def _walker(folder: str, blocks: list[str], text_col: str, cut: Limits | None):
     def walk(batches):
         store, place = filesystem(folder)
         held = {}
@@ -212,7 +213,10 @@ def _walker(folder: str, blocks: list[str], text_col: str):
                             SuffixAutomaton._add(merged, a, b)
                         new_spans = merged
                     spans[k] = new_spans or spans[k]
-            yield with_columns(batch, n_words=counts, hit_spans=spans, hit_items=[sorted(i) for i in items])
+            new = {"n_words": counts, "hit_spans": spans, "hit_items": [sorted(i) for i in items]}
+            if cut and any(spans):
+                new[text_col] = [shortened(t.as_py(), s, n, cut) for t, s, n in zip(batch[text_col], spans, counts, strict=True)]
+            yield with_columns(batch, **new)
 
     return walk
 
@@ -226,23 +230,26 @@ def contaminated(one_in: int = ONE_IN):
     return (_n_hit() > 0) & (one_in * _n_hit() >= F.col("n_words"))
 
 
+def shortened(text: str | None, spans, n_words: int, limits: Limits) -> str | None:
+    """The text without the spans beyond the limits, each cut from word to word."""
+    total = sum(b - a for a, b in spans)
+    gone = [s for s in spans if s[1] - s[0] > limits.words or limits.one_in * total >= n_words]
+    if not gone:
+        return text
+    raw = text.encode()
+    at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
+    for a, b in reversed(gone):
+        raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
+    return raw.decode()
+
+
 def cut_spans(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The output of ``find_items`` with the spans beyond the limits cut out of the text, from word to word."""
+    """The output of ``find_items`` with the spans beyond the limits cut out of the text."""
 
     def cut(batches):
         for batch in batches:
-            texts = []
-            for text, spans, n in zip(batch[text_col].to_pylist(), batch["hit_spans"].to_pylist(), batch["n_words"].to_pylist(), strict=True):
-                total = sum(b - a for a, b in spans)
-                gone = [s for s in spans if s[1] - s[0] > limits.words or limits.one_in * total >= n]
-                if gone:
-                    raw = text.encode()
-                    at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
-                    for a, b in reversed(gone):
-                        raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
-                    text = raw.decode()
-                texts.append(text)
-            yield with_columns(batch, **{text_col: texts})
+            rows = zip(batch[text_col].to_pylist(), batch["hit_spans"].to_pylist(), batch["n_words"].to_pylist(), strict=True)
+            yield with_columns(batch, **{text_col: [shortened(text, spans, n, limits) for text, spans, n in rows]})
 
     return docs.mapInArrow(cut, docs.schema)
 
