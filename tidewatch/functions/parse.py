@@ -14,7 +14,7 @@ from .net import canonical_ip, let, strip
 MISSING = ("", "-", "(empty)")
 UNKNOWN_SOURCE = "__unknown_src__"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-INTEGER = r"^[+-]?[0-9]{1,18}$"
+INTEGER = r"^[+-]?[0-9]+$"
 #: Names of DNS codes.
 QTYPES = {
     1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 10: "NULL", 12: "PTR", 13: "HINFO", 15: "MX", 16: "TXT", 17: "RP",
@@ -82,6 +82,7 @@ def parse_timestamp(value: Column) -> Column:
 
 
 def parse_int(value: Column) -> Column:
+    """Whole numbers of up to 64 bits; what lies beyond is null, as no column type here holds it."""
     what, text = kind(value), strip(_text(value))
     real = _finite(_real(value))
     return (

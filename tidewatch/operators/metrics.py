@@ -26,8 +26,8 @@ def confusion(scored: DataFrame, threshold: float = 0.5, *by: str) -> DataFrame:
 def score_curve(scored: DataFrame, *by: str) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives at it, at or above it, and in all.
 
-    Rows are summed per score first; the running sums see one row per distinct score and, to run in parallel, first add up ranges
-    of scores.
+    Rows are summed per score first; the running sums see one row per distinct score, in one task for each group of ``by``. Round
+    scores whose distinct values are too many for a task.
     """
     per = scored.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
     whole = Window.partitionBy(*by)

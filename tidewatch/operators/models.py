@@ -7,6 +7,7 @@ from those libraries. The network uses Spark's optimiser and sigmoid units.
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Mapping
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -20,6 +21,14 @@ from .splits import _first_n, _wanted
 
 SUPPORTED = ("random_forest", "lightgbm", "xgboost", "mlp", "logistic_regression")
 SCALED = ("mlp", "logistic_regression")
+#: Settings that Spark's classifiers follow. Others are named in a warning.
+FOLLOWED = {
+    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf"},
+    "lightgbm": {"n_estimators", "learning_rate", "num_leaves", "min_child_samples", "subsample", "colsample_bytree"},
+    "xgboost": {"n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree"},
+    "mlp": {"hidden_layer_sizes", "max_iter", "batch_size"},
+    "logistic_regression": {"C", "max_iter"},
+}
 
 
 def weight_policy(method: str, class_weight: str, allow_both: bool = False) -> str:
@@ -36,6 +45,9 @@ def weight_policy(method: str, class_weight: str, allow_both: bool = False) -> s
 def build_classifier(name: str, params: Mapping, seed: int, n_rows: int, n_features: int, weighted: bool = False):
     """An unfitted classifier on ``features`` and ``label``; the network knows no weights."""
     p = dict(params or {})
+    unheard = sorted(set(p) - FOLLOWED.get(name, set(p)))
+    if unheard:
+        warnings.warn(f"{name}: Spark's classifier has no use for {', '.join(unheard)}", stacklevel=2)
     base = {"featuresCol": "features", "labelCol": "label"} | ({"weightCol": "_weight"} if weighted and name != "mlp" else {})
     if name == "random_forest":
         return RandomForestClassifier(
@@ -120,7 +132,7 @@ def choose_threshold(train: DataFrame, name: str, groups, balancing, params, sha
 
 
 def tune(train: DataFrame, name: str, groups, balancing, params, grid: Mapping, n_iter: int = 6, folds: int = 3, scoring: str = "average_precision", seed: int = 42) -> tuple[dict, float]:
-    """Best parameters of a seeded sample of the grid by mean score over folds, which hash and label deal out; resampling stays within each fold."""
+    """Best parameters of a seeded sample of the grid by mean score over folds, which the hash of the id deals out (not by label); resampling stays within each fold."""
     import random
 
     grid = {k.removeprefix("clf__"): v for k, v in grid.items()}
