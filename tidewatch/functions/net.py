@@ -68,6 +68,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns, computed once a row whatever later steps do with them.
+
+    The optimiser copies a column's expression into every filter and expression above it; it does not look through the row
+    generator in which the columns are wrapped here.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = df.select(*kept, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_once"))
+    return packed.select(*kept, F.explode(F.array("_once")).alias("_once")).select(*kept, *[F.col("_once").getField(n).alias(n) for n in columns])
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 

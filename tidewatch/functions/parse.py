@@ -1,14 +1,16 @@
 """Typed parsers of VARIANT values as Column expressions: null for what is missing or cannot be read.
 
-The value's own type decides (a JSON ``true`` is no number), so every parser looks at ``schema_of_variant`` before it casts.
+The value's own type decides (a JSON ``true`` is no number), so every parser reads a :class:`Value`, which holds the type.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .net import canonical_ip, let, strip
+from .net import let, strip
 
 #: Texts that mean "missing", and the source of events without one.
 MISSING = ("", "-", "(empty)")
@@ -61,53 +63,59 @@ def text_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def clean_text(value: Column) -> Column:
+class Value(NamedTuple):
+    """A variant with its type and its stripped text. The columns are best computed once (:func:`.net.once`), as parsers name them often."""
+
+    raw: Column
+    kind: Column
+    text: Column
+
+    @classmethod
+    def of(cls, raw: Column) -> Value:
+        return cls(raw, kind(raw), strip(_text(raw)))
+
+
+def clean_text(value: Value) -> Column:
     """Stripped text, or a scalar's text form; null for placeholders, lists and objects."""
-    what, text = kind(value), strip(_text(value))
     return (
-        F.when((what == "text") & ~text.isin(*MISSING), text)
-        .when(what == "bool", F.initcap(_text(value)))
-        .when(what == "int", _text(value))
-        .when(what == "real", _finite(_real(value)).cast("string"))
+        F.when((value.kind == "text") & ~value.text.isin(*MISSING), value.text)
+        .when(value.kind == "bool", F.initcap(value.text))
+        .when(value.kind == "int", value.text)
+        .when(value.kind == "real", _finite(_real(value.raw)).cast("string"))
     )
 
 
-def parse_timestamp(value: Column) -> Column:
+def parse_timestamp(value: Value) -> Column:
     """Seconds since 1970 from a number or its text, not negative, or from ISO-8601 (without a zone: UTC)."""
-    what, text = kind(value), strip(_text(value))
-    number = F.when(what.isin("int", "real"), _real(value)).when(what == "text", text_number(text))
-    moment = F.when((what == "text") & text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
+    is_text = value.kind == "text"
+    number = F.when(value.kind.isin("int", "real"), _real(value.raw)).when(is_text, text_number(value.text))
+    moment = F.when(is_text & value.text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(value.text))
     iso = F.unix_micros(moment) / F.lit(1e6)
     return F.when(number.isNotNull(), F.when(_finite(number) >= 0, number)).otherwise(iso)
 
 
-def parse_int(value: Column) -> Column:
+def parse_int(value: Value) -> Column:
     """Whole numbers of up to 64 bits; what lies beyond is null, as no column type here holds it."""
-    what, text = kind(value), strip(_text(value))
-    real = _finite(_real(value))
+    real = _finite(_real(value.raw))
     return (
-        F.when(what == "int", F.try_variant_get(value, "$", "bigint"))
-        .when((what == "real") & (real == F.floor(real)), real.try_cast("bigint"))
-        .when((what == "text") & text.rlike(INTEGER), text.try_cast("bigint"))
+        F.when(value.kind == "int", F.try_variant_get(value.raw, "$", "bigint"))
+        .when((value.kind == "real") & (real == F.floor(real)), real.try_cast("bigint"))
+        .when((value.kind == "text") & value.text.rlike(INTEGER), value.text.try_cast("bigint"))
     )
 
 
-def parse_port(value: Column) -> Column:
-    number = parse_int(value)
+def port(number: Column) -> Column:
+    """A whole number as a port; null beyond 16 bits."""
     return F.when(number.between(0, 65535), number).cast("int")
 
 
-def parse_ip(value: Column) -> Column:
-    return canonical_ip(clean_text(value))
-
-
-def parse_bool(value: Column) -> Column:
-    what, text = kind(value), F.lower(strip(_text(value)))
+def parse_bool(value: Value) -> Column:
+    is_text, text = value.kind == "text", F.lower(value.text)
     return (
-        F.when(what == "bool", F.try_variant_get(value, "$", "boolean"))
-        .when(what.isin("int", "real") & _real(value).isin(0.0, 1.0), _real(value) == 1.0)
-        .when((what == "text") & text.isin("t", "true", "1", "yes"), True)
-        .when((what == "text") & text.isin("f", "false", "0", "no"), False)
+        F.when(value.kind == "bool", F.try_variant_get(value.raw, "$", "boolean"))
+        .when(value.kind.isin("int", "real") & _real(value.raw).isin(0.0, 1.0), _real(value.raw) == 1.0)
+        .when(is_text & text.isin("t", "true", "1", "yes"), True)
+        .when(is_text & text.isin("f", "false", "0", "no"), False)
     )
 
 
@@ -115,23 +123,21 @@ def _items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def parse_answers(value: Column) -> Column:
+def parse_answers(value: Value) -> Column:
     """Texts of a list or of a comma-separated text, without placeholders; null and empty differ."""
-    what = kind(value)
-    listed = F.filter(F.transform(_items(value), clean_text), lambda x: x.isNotNull())
-    parts = F.filter(F.transform(F.split(_text(value), ",", -1), strip), lambda x: ~x.isin(*MISSING))
-    return F.when(what == "list", listed).when(what == "text", parts)
+    listed = F.filter(F.transform(_items(value.raw), lambda v: clean_text(Value.of(v))), lambda x: x.isNotNull())
+    parts = F.filter(F.transform(F.split(_text(value.raw), ",", -1), strip), lambda x: ~x.isin(*MISSING))
+    return F.when(value.kind == "list", listed).when(value.kind == "text", parts)
 
 
-def parse_ttls(value: Column) -> Column:
+def parse_ttls(value: Value) -> Column:
     """Numbers from a number, a list or a comma-separated text, finite and not negative; others are left out."""
-    what = kind(value)
     keep = lambda x: F.coalesce(_finite(x) >= 0, F.lit(False))
-    of_item = lambda v: F.when(kind(v).isin("int", "real"), _real(v)).when(kind(v) == "text", text_number(strip(_text(v))))
-    listed = F.filter(F.transform(_items(value), of_item), keep)
-    parts = F.filter(F.transform(F.split(_text(value), ",", -1), lambda p: text_number(strip(p))), keep)
-    one = F.filter(F.array(_real(value)), keep)
-    return F.when(what == "list", listed).when(what == "text", parts).when(what.isin("int", "real"), one)
+    of_item = lambda v: F.when(v.kind.isin("int", "real"), _real(v.raw)).when(v.kind == "text", text_number(v.text))
+    listed = F.filter(F.transform(_items(value.raw), lambda v: of_item(Value.of(v))), keep)
+    parts = F.filter(F.transform(F.split(_text(value.raw), ",", -1), lambda p: text_number(strip(p))), keep)
+    one = F.filter(F.array(_real(value.raw)), keep)
+    return F.when(value.kind == "list", listed).when(value.kind == "text", parts).when(value.kind.isin("int", "real"), one)
 
 
 def code_name(code: Column, name: Column, names: dict[int, str], prefix: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..functions.net import normalize_query
+from ..functions.net import canonical_ip, normalize_query, once
 
 #: Fixed names and order of the event table.
 EVENT_COLUMNS = (
@@ -29,9 +29,12 @@ FIELD_MAPPING = {
 }
 PARSED = tuple(FIELD_MAPPING)
 _PARSERS = {
-    "src_ip": P.parse_ip, "dst_ip": P.parse_ip, "src_port": P.parse_port, "dst_port": P.parse_port, "qtype": P.parse_int, "rcode": P.parse_int,
+    "timestamp": P.parse_timestamp, "qtype": P.parse_int, "rcode": P.parse_int, "src_port": P.parse_int, "dst_port": P.parse_int,
+    "src_ip": P.clean_text, "dst_ip": P.clean_text, "proto": P.clean_text, "qtype_name": P.clean_text, "rcode_name": P.clean_text, "query": lambda v: v.text,
     "answers": P.parse_answers, "ttls": P.parse_ttls, "rejected": P.parse_bool, "aa": P.parse_bool, "tc": P.parse_bool, "rd": P.parse_bool, "ra": P.parse_bool,
 }
+#: Fields whose unreadable values are anomalies.
+COERCED = ("src_ip", "dst_ip", "src_port", "dst_port", "qtype", "rcode", "answers", "ttls", "rejected", "aa", "tc", "rd", "ra")
 BLANK = r"^[\s\x{FEFF}\x1C-\x1F\x85\p{Z}]*$"
 
 
@@ -119,28 +122,35 @@ def normalize(raw: DataFrame, mapping: Mapping[str, Sequence[str]] | None = None
     unknown = [f for f in required if f not in mapping]
     if unknown:
         raise ValueError(f"unknown required fields {unknown}")
-    out = raw.withColumns({f"_r_{f}": F.when(F.col("error").isNull(), lookup(F.col("record"), mapping[f])) for f in PARSED})
-    r = {f: F.col(f"_r_{f}") for f in PARSED}
-    there = {f: P.kind(r[f]) != "none" for f in PARSED}
-    new = {f: parser(r[f]) for f, parser in _PARSERS.items()}
-    new["timestamp"] = P.parse_timestamp(r["timestamp"])
-    new["query"] = normalize_query(F.when(P.kind(r["query"]) == "text", F.try_variant_get(r["query"], "$", "string")))
-    new["proto"] = F.lower(P.clean_text(r["proto"]))
+    out = once(raw, {f"_raw_{f}": F.when(F.col("error").isNull(), lookup(F.col("record"), mapping[f])) for f in PARSED})
+    values = {f: P.Value.of(F.col(f"_raw_{f}")) for f in PARSED}
+    out = once(out, {f"_kind_{f}": v.kind for f, v in values.items()} | {f"_text_{f}": v.text for f, v in values.items()})
+    values = {f: P.Value(F.col(f"_raw_{f}"), F.col(f"_kind_{f}"), F.col(f"_text_{f}")) for f in PARSED}
+    out = once(out, {f"_read_{f}": _PARSERS[f](v) for f, v in values.items()})
+    read = {f: F.col(f"_read_{f}") for f in PARSED}
+    new = dict(read)
+    new["query"] = normalize_query(F.when(values["query"].kind == "text", read["query"]))
+    new["proto"] = F.lower(read["proto"])
+    for f in ("src_port", "dst_port"):
+        new[f] = P.port(read[f])
+    for f in ("src_ip", "dst_ip"):
+        new[f] = canonical_ip(read[f])
     for code, names, prefix in (("qtype", P.QTYPES, "TYPE"), ("rcode", P.RCODES, "RCODE")):
-        new[f"{code}_name"] = P.code_name(new[code], F.upper(P.clean_text(r[f"{code}_name"])), names, prefix)
-    out = out.withColumns(new)
+        new[f"{code}_name"] = P.code_name(read[code], F.upper(read[f"{code}_name"]), names, prefix)
+    out = once(out, new)
+    there = {f: v.kind != "none" for f, v in values.items()}
     lost = []
-    for f in _PARSERS:
-        usable = P.clean_text(r[f]).isNotNull() if f.endswith("_ip") else F.lit(True)
+    for f in COERCED:
+        usable = read[f].isNotNull() if f.endswith("_ip") else F.lit(True)
         lost.append(F.when(there[f] & usable & F.col(f).isNull(), F.lit(f"unparsable:{f}")))
     first = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(there["timestamp"] & F.col("timestamp").isNull(), "invalid_timestamp")
-        .when(there["query"] & (P.kind(r["query"]) != "text"), "invalid_type:query")
+        .when(there["query"] & (values["query"].kind != "text"), "invalid_type:query")
     )
     missing = F.coalesce(*[F.when(F.col(f).isNull() | (F.col(f).cast("string") == ""), F.lit(f"missing_required:{f}")) for f in required]) if required else F.lit(None).cast("string")
     out = out.withColumn("anomalies", F.when(first.isNull(), F.array_compact(F.array(*lost))).otherwise(F.expr("CAST(array() AS array<string>)")))
-    return out.withColumn("reason", F.coalesce(first, missing)).drop(*[f"_r_{f}" for f in PARSED])
+    return out.withColumn("reason", F.coalesce(first, missing)).drop(*[f"_{step}_{f}" for step in ("raw", "kind", "text", "read") for f in PARSED])
 
 
 @dataclass(frozen=True)
