@@ -44,6 +44,26 @@ def test_splits(spark, mixed):
         splits.assign_subset(mixed, "no such")
 
 
+def test_first_share_in_small_steps(spark):
+    rows = [(f"e{i * 7919 % 1000:03d}", i % 3, None if i % 50 == 0 else [float("nan"), 5.0, 5.0, 5.0, float(i), -float(i % 7)][i % 6]) for i in range(600)]
+    table = spark.createDataFrame(rows, "event_id string, label int, at double")
+    order = lambda r: (float("-inf") if r[2] is None else float("inf") if r[2] != r[2] else r[2], r[0])
+    for few in (5, 1 << 17):
+        for share in (0.0, 0.1, 0.5, 0.63, 1.0):
+            taken = splits.first_share(table, F.col("at"), ["label"], lambda n, s=share: round(n * s), few)
+            got = {r["event_id"] for r in table.where(taken).collect()}
+            wanted = set()
+            for label in (0, 1, 2):
+                mine = sorted((r for r in rows if r[1] == label), key=order)
+                wanted |= {r[0] for r in mine[: round(len(mine) * share)]}
+            assert got == wanted
+
+
+def test_stratified_folds(spark, mixed):
+    dealt = mixed.withColumn("fold", models.stratified_folds(mixed, 3, 42)).groupBy("label", "fold").count().collect()
+    assert sorted((r["label"], r["fold"], r["count"]) for r in dealt) == [(0, 0, 53), (0, 1, 54), (0, 2, 53), (1, 0, 13), (1, 1, 14), (1, 2, 13)]
+
+
 def test_group_split(spark):
     rows = [(i, 0, i, f"x.good{i % 10}.com") for i in range(500)] + [(1000 + i, 1, i, f"x.bad{i % 2}.com") for i in range(80)]
     out = splits.assign_subset(events(spark, rows), "group_sld", 0.3)

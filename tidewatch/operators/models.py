@@ -12,12 +12,12 @@ from collections.abc import Mapping
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import average_precision, best_threshold, roc_auc
 from .preprocess import Preprocessor, class_counts, resample
-from .splits import _first_n, _wanted
+from .splits import first_share
 
 SUPPORTED = ("random_forest", "lightgbm", "xgboost", "mlp", "logistic_regression")
 SCALED = ("mlp", "logistic_regression")
@@ -118,9 +118,18 @@ class Fitted:
 
 
 def validation_split(train: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    key = F.struct(F.pmod(F.xxhash64(F.lit(seed + 1), "event_id"), F.lit(1 << 52)).alias("at"), F.col("event_id").alias("id"))
-    marked = _first_n(train, key, _wanted(train, ["label"], lambda n: n - max(1, round(n * share))), ["label"])
-    return marked.where("_taken").drop("_taken"), marked.where("NOT _taken").drop("_taken")
+    key = F.pmod(F.xxhash64(F.lit(seed + 1), "event_id"), F.lit(1 << 52))
+    taken = first_share(train, key, ["label"], lambda n: n - max(1, round(n * share)))
+    return train.where(taken), train.where(~taken)
+
+
+def stratified_folds(train: DataFrame, folds: int, seed: int) -> Column:
+    """The fold of each row, 0 up to ``folds``: every label's rows in hash order, cut into equal parts."""
+    key = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(1 << 52))
+    fold = F.lit(0)
+    for k in range(1, folds):
+        fold = fold + (~first_share(train, key, ["label"], lambda n, k=k: round(n * k / folds))).cast("int")
+    return fold
 
 
 def choose_threshold(train: DataFrame, name: str, groups, balancing, params, share: float, seed: int) -> tuple[float, dict]:
@@ -132,13 +141,13 @@ def choose_threshold(train: DataFrame, name: str, groups, balancing, params, sha
 
 
 def tune(train: DataFrame, name: str, groups, balancing, params, grid: Mapping, n_iter: int = 6, folds: int = 3, scoring: str = "average_precision", seed: int = 42) -> tuple[dict, float]:
-    """Best parameters of a seeded sample of the grid by mean score over folds, which the hash of the id deals out (not by label); resampling stays within each fold."""
+    """Best parameters of a seeded sample of the grid by mean score over stratified folds; resampling stays within each fold."""
     import random
 
     grid = {k.removeprefix("clf__"): v for k, v in grid.items()}
     cells = [dict(zip(grid, c, strict=True)) for c in itertools.product(*grid.values())]
     cells = random.Random(seed).sample(cells, min(int(n_iter), len(cells)))
-    dealt = train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(folds))).persist()
+    dealt = train.withColumn("_fold", stratified_folds(train, folds, seed)).persist()
     measure = {"average_precision": average_precision, "roc_auc": roc_auc}[scoring]
     best = None
     try:

@@ -17,7 +17,9 @@ CONTENT = (
     "rejected", "aa", "tc", "rd", "ra",
 )
 MANIFEST = ("event_id", "subset", "label", "source_file", "source_line", "timestamp")
-SCALE = 1 << 20
+#: Ranges into which a boundary search cuts the keys, and the number of keys that one task then sorts.
+RANGES = 256
+FEW = 1 << 17
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -51,34 +53,63 @@ def dedupe_report(events: DataFrame, kept: DataFrame) -> dict:
     }
 
 
-def _first_n(rows: DataFrame, key: Column, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Marks in ``_taken`` the first ``wanted.n`` rows of each ``by`` in the order of ``key``, a struct without ties.
-
-    No total sort: rows are counted in as many ranges of the key as there are partitions, ranges that lie before the boundary count as
-    a whole, and only rows of the boundary's range are numbered.
+def _prefix_nth(ids: DataFrame, n: int, few: int) -> str:
+    """The n-th smallest id, one character after the other: only the ids that share the prefix found so far are counted."""
+    prefix = ""
+    while True:
+        longer = F.substring("_id", 1, len(prefix) + 1)
+        found = ids.where(F.startswith("_id", F.lit(prefix))).groupBy(longer.alias("start")).count().collect()
+        for start, size in sorted(((r["start"], r["count"]) for r in found), key=lambda r: r[0].encode()):
+            if n <= size:
+                break
+            n -= size
+        if start == prefix:
+            return start
+        prefix = start
+        if size <= few:
+            return ids.where(F.startswith("_id", F.lit(prefix))).orderBy("_id").offset(n - 1).first()["_id"]
+
+
+def _nth(keys: DataFrame, size: int, n: int, few: int) -> tuple[float, str]:
+    """The n-th smallest (_at, _id) of ``size`` keys, exactly, without a sort of them all.
+
+    Approximate quantiles cut the keys into ranges, a cut's own value being a range of its own; the counts tell which range holds
+    the n-th key, and only that one is cut again, until it has at most ``few`` keys. Equal ``_at`` beyond that number go by the id's prefixes.
     """
-    ranges = 256
-    first = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    rows = rows.withColumns({"_key": key, "_by": first.cast("string") if not by else F.to_json(first)})
-    cuts = rows.groupBy("_by").agg(F.percentile_approx(F.col("_key")["at"].cast("double"), [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
-    ranged = rows.join(F.broadcast(cuts), "_by").withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_key")["at"].cast("double")))).drop("_cuts")
-    counts = ranged.groupBy("_by", "_range").count()
-    running = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    spans = counts.withColumn("_before", F.coalesce(F.sum("count").over(running), F.lit(0))).join(F.broadcast(wanted), "_by")
-    spans = spans.select("_by", "_range", (F.col("_before") + F.col("count") <= F.col("n")).alias("_all"), (F.col("_before") >= F.col("n")).alias("_none"), (F.col("n") - F.col("_before")).alias("_left"))
-    marked = ranged.join(F.broadcast(spans), ["_by", "_range"])
-    whole = marked.where("_all OR _none").withColumn("_taken", F.col("_all"))
-    edge = marked.where("NOT (_all OR _none)")
-    number = F.row_number().over(Window.partitionBy("_by").orderBy("_key"))
-    cut = edge.withColumn("_taken", number <= F.col("_left"))
-    return whole.unionByName(cut).drop("_key", "_by", "_range", "_all", "_none", "_left")
-
-
-def _wanted(events: DataFrame, by: Sequence[str], n_of) -> DataFrame:
-    first = F.to_json(F.struct(*[F.col(b) for b in by])) if by else F.lit("0")
-    rows = events.groupBy(first.alias("_by")).count().collect()
-    spark = events.sparkSession
-    return spark.createDataFrame([(r["_by"], n_of(r["count"])) for r in rows] or [("", 0)], "_by string, n long")
+    while size > few:
+        marks = keys.agg(F.percentile_approx("_at", [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"]
+        cuts = list(dict.fromkeys(marks))
+        array = F.array(*[F.lit(c) for c in cuts])
+        place = F.size(F.filter(array, lambda c: c < F.col("_at"))) + F.size(F.filter(array, lambda c: c <= F.col("_at")))
+        placed = keys.withColumn("_range", place)
+        for at, size in sorted((r["_range"], r["count"]) for r in placed.groupBy("_range").count().collect()):
+            if n <= size:
+                break
+            n -= size
+        keys = placed.where(F.col("_range") == at).drop("_range")
+        if at % 2 and size > few:
+            return cuts[at // 2], _prefix_nth(keys, n, few)
+    return tuple(keys.select("_at", "_id").orderBy("_at", "_id").offset(n - 1).first())
+
+
+def first_share(events: DataFrame, key: Column, by: Sequence[str], n_of, few: int = FEW) -> Column:
+    """True for the first ``n_of(size)`` events of each ``by`` in the order of ``key`` and id (null first).
+
+    ``by`` has few values, as labels do. The events are read for the boundaries; what comes back is a comparison with these, so
+    the marked table needs no shuffle. Events equal in key and id fall to one side.
+    """
+    at, name = F.coalesce(key.cast("double"), F.lit(float("-inf"))), F.coalesce(F.col("event_id").cast("string"), F.lit(""))
+    keys = events.select(*by, at.alias("_at"), name.alias("_id"))
+    taken = F.lit(False)
+    for row in keys.groupBy(*by).count().collect():
+        here = F.lit(True)
+        for b in by:
+            here = here & F.col(b).eqNullSafe(F.lit(row[b]))
+        n = n_of(row["count"])
+        if n > 0:
+            last, last_id = _nth(keys.where(here), row["count"], n, few)
+            taken = taken | (here & ((at < last) | ((at == last) & (name <= F.lit(last_id)))))
+    return taken
 
 
 def assign_subset(
@@ -93,16 +124,15 @@ def assign_subset(
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     if strategy == "stratified_random":
-        key = F.struct(F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(1 << 52)).alias("at"), F.col("event_id").alias("id"))
-        out = _first_n(events, key, _wanted(events, ["label"], lambda n: n - math.ceil(n * test_size)), ["label"])
-        out = out.withColumn("subset", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken")
+        key = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(1 << 52))
+        taken = first_share(events, key, ["label"], lambda n: n - math.ceil(n * test_size))
+        out = events.withColumn("subset", F.when(taken, "train").otherwise("test"))
     elif strategy == "chronological":
         if chronological_mode not in ("global", "per_class"):
             raise ValueError(f"unknown chronological_mode {chronological_mode!r}")
         by = ["label"] if chronological_mode == "per_class" else []
-        key = F.struct(F.col("timestamp").alias("at"), F.col("event_id").alias("id"))
-        out = _first_n(events, key, _wanted(events, by, lambda n: math.floor(n * (1.0 - test_size))), by)
-        out = out.withColumn("subset", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken")
+        taken = first_share(events, F.col("timestamp"), by, lambda n: math.floor(n * (1.0 - test_size)))
+        out = events.withColumn("subset", F.when(taken, "train").otherwise("test"))
     elif strategy == "group_sld":
         named = events.withColumn("_group", F.col(group)) if group else with_domain_parts(events, "query", rules, "_p").withColumn("_group", F.col("_p.registrable")).drop("_p")
         chosen = test_groups(named, "_group", test_size, seed).withColumnRenamed("group", "_chosen")
