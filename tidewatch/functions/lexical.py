@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .net import SuffixRules, with_domain_parts
+from .net import SuffixRules, once, with_domain_parts
 
 #: Fixed names and order of the feature groups.
 LEXICAL_CONTINUOUS = (
@@ -122,6 +122,7 @@ def add_event_features(events: DataFrame, availability: Mapping[str, bool] | Non
     """Events with the 36 event features and the three metadata columns; nothing is shuffled for them."""
     available = resolve_availability(events, availability)
     out = with_domain_parts(events, "query", rules, "_parts")
+    out = once(out, {"_parts": F.col("_parts")})
     columns = lexical_features(F.col("_parts")) | response_features(available)
     return out.withColumns({c: columns[c] for c in (*METADATA, *CONTINUOUS, *BINARY, *CATEGORICAL)}).drop("_parts")
 
