@@ -192,7 +192,7 @@ def test_empty_tables(spark, tmp_path):
         assert query(spark, folder).collect() == []
 
 
-def test_urls(spark, tmp_path):
+def test_urls(spark, tmp_path, monkeypatch):
     urls = [
         None, "", "no scheme/en", "http://A.Example.ORG/es/1", "https://example.org/en/19?q=://", "http://b.org", "x://org/",
         "http://example.com/fr/a#b", "http://com/de/", "http://notcom/de/", "http://x.net/casino/1", "http://x.net/Cheap-Pills",
@@ -212,5 +212,10 @@ def test_urls(spark, tmp_path):
     spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string").write.parquet(f"{tmp_path}/pages.parquet")
     got = url_filter.op3_url_filter(spark, str(tmp_path)).collect()
     assert sorted((tuple(g) for g in got), key=key) == sorted(want, key=key)
+    pages, names = spark.read.parquet(f"{tmp_path}/pages.parquet"), ("page_id", "host", "path", "rule", "verdict")
+    for share in (1_000, 5):  # with every token hot, and with few
+        monkeypatch.setattr(url_filter, "HOT_SHARE", share)
+        joined = url_filter.judge_urls(pages, url_filter.SITE_RULES + url_filter.WORD_RULES, broadcast_rules=0).select(*names).collect()
+        assert sorted((tuple(g) for g in joined), key=key) == sorted(want, key=key)
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(none, url_filter.SITE_RULES).collect() == []

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from ._common import UPPER, ascii_lower, table
 
-#: Bound of the rule list, checked: the index is small enough to send to every executor.
-MAX_RULES = 20_000
+#: Up to so many rules, the index is sent to every executor; larger ones are joined by a shuffle, with the same result.
+BROADCAST_RULES = 20_000
+#: There, a token that is more than one in ``HOT_SHARE`` of all (so at most ``HOT_SHARE`` tokens) is dealt over ``SALTS`` tasks.
+HOT_SHARE = 1_000
+SALTS = 64
+RULE_SCHEMA = "rule_no int, name string, pattern string, rule_verdict string, site boolean, tokens array<string>"
 
 
 @dataclass(frozen=True)
@@ -83,11 +87,11 @@ def split_url(url):
     return ascii_lower(host), path
 
 
-def _rule_table(spark: SparkSession, rules) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to every executor")
+def _rule_table(spark: SparkSession, rules, broadcast_rules: int) -> DataFrame:
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
+    if len(rules) > broadcast_rules:
+        return spark.createDataFrame([(i, r.name, r.pattern, r.verdict, r.site, list(r.tokens)) for i, r in enumerate(rules)], RULE_SCHEMA)
     rows = [
         F.struct(
             F.lit(i).alias("rule_no"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("rule_verdict"),
@@ -98,17 +102,41 @@ def _rule_table(spark: SparkSession, rules) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
-def judge_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "allow") -> DataFrame:
+def _rarest(rule_table: DataFrame, tokens: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """The rules, each under its rarest literal. ``counts`` of all tokens, if there, stand for those of the literals only."""
+    literals = rule_table.select("rule_no", F.explode("tokens").alias("token"))
+    few = counts is None
+    seen = tokens.join(F.broadcast(literals.select("token").distinct()), "token", "left_semi").groupBy("token").count() if few else counts
+    rarest = (
+        literals.join(F.broadcast(seen) if few else seen, "token", "left")
+        .groupBy("rule_no")
+        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("token").alias("token"))).alias("least"))
+        .select("rule_no", F.col("least.token").alias("token"))
+    )
+    return rule_table.drop("tokens").join(F.broadcast(rarest) if few else rarest, "rule_no")
+
+
+def _salted(urls: DataFrame, index: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join with a ``_salt``: URLs of a hot token go to one of its tasks, its rules to all."""
+    total = counts.agg(F.sum("count").alias("_total"))
+    hot = counts.join(F.broadcast(total), F.col("count") * HOT_SHARE > F.col("_total")).select(F.col("token").alias("_hot"))
+    mark = lambda df: df.join(F.broadcast(hot), F.col("token") == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return mark(urls).withColumn("_salt", salt).drop("_hot"), mark(index).withColumn("_salt", F.explode(salts)).drop("_hot")
+
+
+def judge_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     Of fitting site rules the longest name wins, then the name first in order; a site rule beats any other. Without one,
     any other rule that fits gives the verdict and ``rule`` is null; else ``default``. Null URLs, and those without
     ``://``, have an empty host and path, which no site rule fits. Repeated rows each come back; columns of ``pages`` called like
-    the new ones are replaced.
+    the new ones are replaced. Any number of rules is taken; beyond ``broadcast_rules`` their index is joined by a shuffle.
     """
     spark = pages.sparkSession
     pages = pages.drop("host", "path", "rule", "verdict")
-    rule_table = _rule_table(spark, rules)
+    rule_table = _rule_table(spark, rules, broadcast_rules)
     urls = pages.select(F.col(url_col).alias("_url")).where("_url IS NOT NULL").distinct()
     host, path = split_url(F.col("_url"))
     parts = urls.select("_url", ascii_lower(F.col("_url")).alias("_low"), host.alias("_host"), path.alias("_path")).withColumn(
@@ -116,18 +144,15 @@ def judge_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "al
         F.array_distinct(F.split(F.concat_ws(" ", "_host", "_path", "_low"), "[^A-Za-z0-9]+")),
     )
     tokens = parts.select(F.explode("_tokens").alias("token"))
-    literals = rule_table.select("rule_no", F.explode("tokens").alias("token"))
-    seen = tokens.join(F.broadcast(literals.select("token").distinct()), "token", "left_semi").groupBy("token").count()
-    rarest = (
-        literals.join(F.broadcast(seen), "token", "left")
-        .groupBy("rule_no")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("token").alias("token"))).alias("least"))
-        .select("rule_no", F.col("least.token").alias("token"))
-    )
-    index = rule_table.drop("tokens").join(F.broadcast(rarest), "rule_no")
+    by_token = parts.select("_url", "_low", F.concat("_host", "_path").alias("_address"), F.explode("_tokens").alias("token"))
+    if len(rules) <= broadcast_rules:
+        candidates = by_token.join(F.broadcast(_rarest(rule_table, tokens, None)), "token")
+    else:
+        counts = tokens.groupBy("token").count()
+        candidates, index = _salted(by_token, _rarest(rule_table, tokens, counts), counts)
+        candidates = candidates.join(index, ["token", "_salt"])
     fitting = (
-        parts.select("_url", "_low", F.concat("_host", "_path").alias("_address"), F.explode("_tokens").alias("token"))
-        .join(F.broadcast(index), "token")
+        candidates
         .where(F.regexp_like(F.when(F.col("site"), F.col("_address")).otherwise(F.col("_low")), F.col("pattern")))
         .groupBy("_url")
         .agg(
