@@ -165,6 +165,20 @@ def test_samplers(matrix):
         preprocess.safe_neighbours(5, 1)
 
 
+def test_score_curve_over_many_ranges(spark):
+    rows = [("ab"[i % 2], i % 3 % 2, None if i % 100 == 0 else float(i * 37 % 1009) / 7) for i in range(2000)]
+    got = metrics.score_curve(spark.createDataFrame(rows, "name string, label int, score double"), "name").collect()
+    assert len(got) == len({(r[0], r[2]) for r in rows})
+    at = lambda x: float("-inf") if x is None else x
+    for r in got:
+        mine = [(y, at(x)) for name, y, x in rows if name == r["name"]]
+        same, over = [y for y, x in mine if x == at(r["score"])], [y for y, x in mine if x >= at(r["score"])]
+        want = (sum(same), len(same) - sum(same), sum(over), len(over) - sum(over), sum(y for y, _ in mine), sum(1 - y for y, _ in mine))
+        assert tuple(r[k] for k in ("p", "n", "tp", "fp", "pos", "neg")) == want
+    nothing = spark.createDataFrame([(1, None), (0, None)], "label int, score double")
+    assert metrics.roc_auc(nothing).first()["roc_auc"] == 0.5 and metrics.roc_auc(nothing.limit(0)).first()["roc_auc"] is None
+
+
 def test_metrics(spark):
     rng = random.Random(2)
     rows = [(int(rng.random() < 0.3), round(rng.random(), 1)) for _ in range(300)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a group's scores.
+RANGES = 256
 NAMES = {0: "benign", 1: "dns_tunneling"}
 
 
@@ -26,13 +28,24 @@ def confusion(scored: DataFrame, threshold: float = 0.5, *by: str) -> DataFrame:
 def score_curve(scored: DataFrame, *by: str) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives at it, at or above it, and in all.
 
-    Rows are summed per score first; the running sums see one row per distinct score, in one task for each group of ``by``. Round
-    scores whose distinct values are too many for a task.
+    Rows are summed per score first. Approximate quantiles cut each group's distinct scores into ``RANGES`` ranges; running sums
+    run within a range, and the sums of the ranges above are added, so no task sees all scores of a group.
     """
     per = scored.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
-    whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
+    per = per.withColumn("_by", F.to_json(F.struct(*by)) if by else F.lit(""))
+    cuts = per.groupBy("_by").agg(F.percentile_approx(F.col("score").cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("score").cast("double"))), F.lit(0))
+    placed = per.join(F.broadcast(cuts), "_by").withColumn("_range", below).drop("_cuts")
+    sums = placed.groupBy("_by", "_range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    whole = Window.partitionBy("_by")
+    above = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    sums = sums.select(
+        "_by", "_range", zero(F.sum("p").over(above)).alias("_tp"), zero(F.sum("n").over(above)).alias("_fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg")
+    )
+    down = Window.partitionBy("_by", "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(F.broadcast(sums), ["_by", "_range"])
+    return out.select(*by, "score", "p", "n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "pos", "neg")
 
 
 def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
