@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewatch.llm import token_files
+from tidewatch.llm import _common, token_files
 
 from .fixtures import odd_rows, table
 from .test_jaccard_join import brute as components
@@ -74,3 +75,17 @@ def test_stages(spark, tmp_path):
         before = after
     assert sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, folder).collect()) == sorted(map(str, after))
     assert TOXIC
+
+
+def test_memory_between_stages(spark):
+    """Executors collect garbage between the stages, and token files are written from batches of bounded rows."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = count()
+    _common.free_unused(spark)
+    assert count() >= before + 2  # the driver's and, in this session in the same process, the executor's
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    with _common.small_batches(spark):
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long").collect()
+    assert max(r["id"] for r in sizes) <= 1024 and spark.conf.get(name) == kept

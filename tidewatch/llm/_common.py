@@ -120,9 +120,29 @@ def workspace(spark: SparkSession):
 
 
 def free_unused(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files and broadcasts that nothing names any more; it follows garbage collection."""
+    """Lets Spark's cleaner drop the shuffle files and broadcasts that nothing names any more; it follows garbage collection.
+
+    Executors collect theirs too: a heap that one stage has grown is given back before the next one's Python workers need the memory.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    everywhere = spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("done"))
+    everywhere.write.format("noop").mode("overwrite").save()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Texts are wide columns; batches of a few MB bound what a Python worker holds."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def trimmed(run):

@@ -20,7 +20,6 @@ Where the links themselves are asked for, steps 2 and 4 are left out and every c
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import math
 from dataclasses import dataclass
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_settled, free_unused, settle, shuffle_width, table, trimmed, workspace
+from ._common import drop_settled, free_unused, settle, shuffle_width, small_batches, table, trimmed, workspace
 from .components import connected_components
 
 #: Words of a shingle; the similarity asked for, as a fraction.
@@ -480,20 +479,6 @@ def _first_of_labels(asking: DataFrame) -> DataFrame:
     return met.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession):
-    """Texts of pairs are wide rows; batches of a few MB bound what a Python worker holds."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-    before = {n: spark.conf.get(n, None) for n in names}
-    for n, v in names.items():
-        spark.conf.set(n, v)
-    try:
-        yield
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, class_id, component_id) for every row.
 
@@ -503,7 +488,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have one text; repeated rows each come back. Rows with a null id are told apart by their row and come back with a null
     id and component: they join nothing. Extra columns are ignored.
     """
-    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
+    with small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
         return settle(_components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work), "jaccard")
 
 
@@ -513,7 +498,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Sets, classes and nulls are those of ``jaccard_components``; documents of one class are linked with each other and, all alike, with
     the classes that theirs is linked with. No component stands in for a link: all candidates are compared.
     """
-    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
+    with small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         _, _, member, heads = _classes(source, work)
         return settle(_all_links(source, member, heads, work), "links")
@@ -521,7 +506,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links) for every row: the number of other classes that the row's class is linked with."""
-    with _small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
+    with small_batches(docs.sparkSession), workspace(docs.sparkSession) as work:
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         classes, least, member, heads = _classes(source, work)
         links = _all_links(source, member, heads, work)

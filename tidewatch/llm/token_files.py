@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import filesystem, scratch, shuffle_width, table, trimmed
+from ._common import filesystem, scratch, shuffle_width, small_batches, table, trimmed
 
 MAGIC = b"TIDETOK1"
 TRAILER = struct.Struct("<32sQQQQ8s")
@@ -301,7 +301,8 @@ def write_token_files(
     shard = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(listed, lambda b: b <= F.col("doc_id")))).cast("int")
     frames = source.select("doc_id", shard.alias("shard"), "text").mapInArrow(trimmed(_encode(spark.sparkContext.broadcast(spec), dictionary, end)), FRAMES)
     ordered = frames.repartition(len(bounds) + 2, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "n_tokens", "crc")
-    ordered.mapInArrow(_write(folder, digest, encoder.width), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        ordered.mapInArrow(_write(folder, digest, encoder.width), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return {"folder": folder, "dictionary_sha256": digest.hex(), "dictionary": dictionary, "width": encoder.width}
 
 
