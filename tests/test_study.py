@@ -274,3 +274,16 @@ def test_neighbours_are_the_nearest(spark, monkeypatch):
     got = {r["_n"]: r["_near"] for r in preprocess._neighbours(own, "v", 5).collect()}
     far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
     assert got == {i: sorted((j for j in range(len(points)) if j != i), key=lambda j: (far(points[i], points[j]), j))[:5] for i in range(len(points))}
+
+
+def test_cuts_halve_the_rows():
+    """The blocks of the neighbour search lie together; one value only cannot be cut."""
+    import numpy as np
+
+    x = np.random.default_rng(4).random((64, 3)) * [1, 50, 1]
+    dims, cuts = preprocess._cuts(x, 2)
+    node = np.zeros(64, int)
+    for _ in range(2):
+        node = 2 * node + 1 + (x[np.arange(64), dims[node]] > cuts[node])
+    assert dims[0] == 1 and np.bincount(node)[3:].tolist() == [16] * 4
+    assert np.isinf(preprocess._cuts(np.ones((9, 2)), 2)[1]).all()
